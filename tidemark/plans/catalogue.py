@@ -3,8 +3,32 @@
 from __future__ import annotations
 
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.keys import clean
+from tidemark.operators import skew
+from tidemark.session import table
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return skew.hot_keys(table(spark, d, "trainingsample"), ["family", "group_id"]).select("field", "key_value")
+
+
+def p7_keys(spark: SparkSession, d: str) -> DataFrame:
+    return skew.key_states(table(spark, d, "trainingsample"), ["family", "group_id"])
+
+
+def p7_support(spark: SparkSession, d: str) -> DataFrame:
+    """Sample rows per family joined with the audit's rows of that family, which may be several."""
+    return skew.eager_join(
+        table(spark, d, "trainingsample").select(clean("family").alias("family"), "target"), table(spark, d, "class_support").select(clean("family").alias("family"), "samples", "in_support"),
+        ["family"], ["family"], ["in_support"], {"target_sum": F.col("target").cast("long")}, {"samples_sum": F.col("samples").cast("long")},
+    )
+
+
 def queries() -> dict:
-    return {}
+    return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict:
