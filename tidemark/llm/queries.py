@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import overlap
+from tidemark.llm import dictionary, groups, overlap
 from tidemark.session import Scratch, table
 
 
@@ -20,6 +20,19 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(_fingerprint_tables(spark, d), table(spark, d, "train_validation_manifest"), Scratch(spark, "p1"))
 
 
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    f = dictionary.frequencies(table(spark, d, "trainingsample"), "sha", "family", [table(spark, d, "class_support").select("family")], scratch=Scratch(spark, "p2"))
+    return f.withColumnRenamed("term", "family")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_terms(spark, d).where("mark IS NOT NULL").select("family", "mark")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.found(table(spark, d, "edges"), table(spark, d, "trainingsample"), Scratch(spark, "p3"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1].isdigit() and callable(f)}
 
