@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import dictionary, groups, overlap
+from tidemark.llm import dictionary, groups, history, neardup, overlap
 from tidemark.session import Scratch, table
 
 
@@ -33,6 +33,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.found(table(spark, d, "edges"), table(spark, d, "trainingsample"), Scratch(spark, "p3"))
 
 
+def p4_cases(spark: SparkSession, d: str) -> DataFrame:
+    return history.run_batches(table(spark, d, "train_tlsh"), table(spark, d, "validation_tlsh"), Scratch(spark, "p4"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_cases(spark, d).select("sha").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.found(table(spark, d, "validation_tlsh"), Scratch(spark, "p5"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.grouped(table(spark, d, "validation_tlsh"), Scratch(spark, "p5"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1].isdigit() and callable(f)}
 
