@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import dictionary, groups, history, neardup, overlap
+from tidemark.llm import bpe, dictionary, groups, history, neardup, overlap, splits
 from tidemark.session import Scratch, table
 
 
@@ -49,6 +49,24 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.grouped(table(spark, d, "validation_tlsh"), Scratch(spark, "p5"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.leaks(table(spark, d, "trainingsample"), table(spark, d, "manifest"), Scratch(spark, "p6"))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign(table(spark, d, "trainingsample"), table(spark, d, "split_target"), Scratch(spark, "p6")).select("sha", "split_name")
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    s, t = table(spark, d, "trainingsample"), table(spark, d, "split_target")
+    return splits.shares_report(splits.assign(s, t, Scratch(spark, "p6")), s, t)
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", bpe.encoded(spark, docs["text"]).alias("ids"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1].isdigit() and callable(f)}
 
