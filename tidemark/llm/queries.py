@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, dictionary, groups, history, neardup, overlap, splits
+from tidemark.llm import bpe, canonical, dictionary, groups, history, mixture, neardup, overlap, splits
 from tidemark.session import Scratch, table
 
 
@@ -67,6 +67,25 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", bpe.encoded(spark, docs["text"]).alias("ids"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    sized = mixture.sizes(table(spark, d, "documents"), Scratch(spark, "p9"))
+    return mixture.mixture(sized, mixture.plan(sized, table(spark, d, "mix_target")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized = mixture.sizes(table(spark, d, "documents"), Scratch(spark, "p9"))
+    sources = mixture.plan(sized, table(spark, d, "mix_target"))
+    return mixture.report(mixture.mixture(sized, sources), sources)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.found(table(spark, d, "documents"), Scratch(spark, "p10"))
+
+
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.forms(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k[0] == "p" and k[1].isdigit() and callable(f)}
 
