@@ -50,12 +50,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
-    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df and return the written table; earlier parts of the plan are not run again."""
+    def cut(self, df: DataFrame, name: str = "t", *by: str) -> DataFrame:
+        """Write df and return the written table; earlier parts of the plan are not run again. by: columns that make folders."""
         self.n += 1
         path = f"{self.path}/{self.n:04d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
         out._tidemark_path = path
         return out
 
