@@ -28,11 +28,16 @@ BITS = 4
 WITHIN = 10
 
 
+FINGERPRINT, DIGEST, CONTENT = 0, 1, 2
+
+
 class HistoryStore:
     """Fingerprints, digests, contents and Bloom filters of all accepted records.
 
-    path: a folder of its own in the shared file system. buckets: how many parts each table has (about 128 MB of
-    fingerprints each). bloom_words: 64-bit words of the filter; with about 12 bits a fingerprint 2-3 % pass by chance.
+    entries holds the first three as (kind, key, id, content, digest), bucketed by key: a fingerprint's key is itself, a
+    digest's its id, a content's a hash of it (the content is compared too). bloom holds (word, set), bucketed by word.
+    path: a folder of its own in the shared file system. buckets: parts of each table, for about 128 MB
+    each. bloom_words: 64-bit words of the filter; with about 12 bits a fingerprint 2-3 % pass by chance.
     """
 
     def __init__(self, spark, path: str, buckets: int = 12, bloom_words: int = 1 << 20):
@@ -40,14 +45,17 @@ class HistoryStore:
         self.prefix = f"tm_{uuid.uuid4().hex[:10]}"
         self.made: set[str] = set()
 
-    def _append(self, name: str, df: DataFrame, key: str) -> None:
+    def _append(self, name: str, df: DataFrame, *keys: str) -> None:
         # One file a bucket: rows are moved to their bucket before they are written.
-        w = df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).format("parquet").option("path", f"{self.path}/{name}")
+        w = df.repartition(self.buckets, keys[0]).write.bucketBy(self.buckets, keys[0]).sortBy(*keys[::-1]).format("parquet").option("path", f"{self.path}/{name}")
         w.mode("append" if name in self.made else "overwrite").saveAsTable(f"{self.prefix}_{name}")
         self.made.add(name)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.table(f"{self.prefix}_{name}")
+    def entries(self, kind: int) -> DataFrame:
+        return self.spark.table(f"{self.prefix}_entries").where(F.col("kind") == kind)
+
+    def bloom(self) -> DataFrame:
+        return self.spark.table(f"{self.prefix}_bloom")
 
     def close(self) -> None:
         """Forget the tables' names; the files stay."""
@@ -57,20 +65,36 @@ class HistoryStore:
     def word(self, fp: Column) -> Column:
         return F.pmod(F.xxhash64(fp), F.lit(self.bloom_words)).cast("int")
 
-    def update(self, records: DataFrame, fps: DataFrame) -> None:
-        """Accept records (content, id, digest) and their fingerprints (fp, id)."""
-        self._append("fps", fps.select("fp", "id").distinct(), "fp")
-        self._append("bloom", bloom_words(fps, self), "word")
-        self._append("digests", records.where("id IS NOT NULL").groupBy("id").agg(*(F.first(p).alias(p) for p in PARTS)), "id")
-        self._append("contents", records.where("content IS NOT NULL").select("content").distinct(), "content")
+    def update(self, contents: DataFrame, digests: DataFrame) -> None:
+        """Accept contents (content) and distinct digests (id and the packed digest): append their entries and Bloom words."""
+        null = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+        fps = answers(digests)
+        words = [F.col(p) for p in PARTS]
+        no_words = [*null("int", "head"), *null("long", *PARTS[1:])]
+        rows = fps.select(F.lit(FINGERPRINT).alias("kind"), F.col("fp").alias("key"), "id", *null("string", "content"), *no_words)
+        rows = rows.unionByName(digests.select(F.lit(DIGEST).alias("kind"), F.col("id").alias("key"), "id", *null("string", "content"), *words))
+        held = contents.where("content IS NOT NULL").select("content").distinct()
+        rows = rows.unionByName(held.select(F.lit(CONTENT).alias("kind"), F.xxhash64("content").alias("key"), *null("long", "id"), "content", *no_words))
+        self._append("entries", rows, "key", "kind")
+        self._append("bloom", fps.groupBy(self.word(F.col("fp")).alias("word")).agg(F.bit_or(_mask(F.xxhash64("fp", F.lit(7)))).alias("set")), "word")
 
     def screen(self, fps: DataFrame) -> DataFrame:
-        """The fingerprints that a Bloom filter does not rule out."""
+        """The fingerprints that the Bloom filters do not rule out."""
         probes = fps.withColumn("word", self.word(F.col("fp"))).withColumn("mask", _mask(F.xxhash64("fp", F.lit(7))))
-        hits = probes.join(self.read("bloom"), "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask"))
+        hits = probes.join(self.bloom(), "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask"))
         return hits.select(*fps.columns).distinct()
 
 
+def answers(digests: DataFrame) -> DataFrame:
+    """fp, id: the fingerprints under which digests are kept, in each band of length values they may be asked for."""
+    return winnow.banded(winnow.kept(digests, ["id", "head"]), "head", 1, True).select(F.col("key").alias("fp"), "id")
+
+
+def questions(digests: DataFrame) -> DataFrame:
+    """fp, id: the fingerprints by which digests ask, in their own band."""
+    return winnow.banded(winnow.kept(digests, ["id", "head"]), "head", 1, False).select(F.col("key").alias("fp"), "id")
+
+
 def _mask(h: Column) -> Column:
     out = None
     for i in range(BITS):
@@ -79,10 +103,6 @@ def _mask(h: Column) -> Column:
     return out
 
 
-def bloom_words(fps: DataFrame, store: HistoryStore) -> DataFrame:
-    return fps.groupBy(store.word(F.col("fp")).alias("word")).agg(F.bit_or(_mask(F.xxhash64("fp", F.lit(7)))).alias("set"))
-
-
 def first_deliveries(batches: DataFrame) -> DataFrame:
     """One row a record: sha, content, id, digest, batch_no and at = (timestamp, sha) of its first delivery.
 
@@ -95,8 +115,8 @@ def first_deliveries(batches: DataFrame) -> DataFrame:
     return one.select("sha", "r.*").withColumn("at", F.struct("ts", "sha"))
 
 
-def check_batch(batch: DataFrame, store: HistoryStore, scratch: Scratch, within: int = WITHIN) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The shas of a batch that repeat the store or an earlier record of the batch; with the batch's records and fingerprints.
+def check_batch(batch: DataFrame, store: HistoryStore, scratch: Scratch, within: int = WITHIN) -> tuple[DataFrame, DataFrame]:
+    """The shas of a batch that repeat the store or an earlier record of the batch; with the batch's distinct digests.
 
     Of records of one digest (or one content) in the batch only the first can be new; it is new unless the store or
     the first record of another digest, earlier than it, lies within the distance. So classes are compared, and
@@ -104,27 +124,23 @@ def check_batch(batch: DataFrame, store: HistoryStore, scratch: Scratch, within:
     """
     if within > WITHIN:
         raise ValueError(f"the windows find all records up to distance {WITHIN}")
-    batch = scratch.cut(batch, "batch")
     classes = scratch.cut(batch.where("id IS NOT NULL").groupBy("id").agg(F.min("at").alias("first_at"), *(F.first(p).alias(p) for p in PARTS)), "classes")
-    fps = scratch.cut(winnow.banded(winnow.kept(classes, ["id", "head"]), "head", 1, True).select(F.col("key").alias("fp"), "id"), "fps")
-    own = scratch.cut(winnow.banded(winnow.kept(classes, ["id", "head"]), "head", 1, False).select(F.col("key").alias("fp"), "id"), "own")
-
-    past = store.screen(own).join(store.read("fps").select("fp", F.col("id").alias("ref")), "fp").select("id", "ref").distinct()
-    refs = store.read("digests").select(F.col("id").alias("ref"), *(F.col(p).alias(f"r_{p}") for p in PARTS))
-    here = own.join(fps.select("fp", F.col("id").alias("ref")), "fp").where("id <> ref").select("id", "ref").distinct()
-    peers = classes.select(F.col("id").alias("ref"), F.col("first_at").alias("r_at"), *(F.col(p).alias(f"r_{p}") for p in PARTS))
-
+    asked = questions(classes)
+    past = store.screen(asked).join(store.entries(FINGERPRINT).select(F.col("key").alias("fp"), F.col("id").alias("ref")), "fp").select("id", "ref").distinct()
+    here = asked.join(answers(classes).select("fp", F.col("id").alias("ref")), "fp").where("id <> ref").select("id", "ref").distinct()
+    theirs = [F.col(p).alias(f"r_{p}") for p in PARTS]
+    old = past.join(store.entries(DIGEST).select(F.col("key").alias("ref"), F.lit(None).cast("struct<ts:timestamp,sha:string>").alias("r_at"), *theirs), "ref")
+    young = here.join(classes.select(F.col("id").alias("ref"), F.col("first_at").alias("r_at"), *theirs), "ref")
     near = distance({p: F.col(p) for p in PARTS}, {p: F.col(f"r_{p}") for p in PARTS}) <= within
-    old = past.join(refs, "ref").join(classes, "id").where(near).select("id").distinct()
-    young = here.join(peers, "ref").join(classes, "id").where(near & (F.col("r_at") < F.col("first_at"))).select("id").distinct()
+    hits = old.unionByName(young).join(classes, "id").where((F.col("r_at").isNull() | (F.col("r_at") < F.col("first_at"))) & near).select("id").distinct()
 
-    first = batch.join(classes.select("id", "first_at"), "id", "left")
-    by_digest = first.where("id IS NOT NULL").join(old.withColumn("old", F.lit(True)), "id", "left").join(young.withColumn("young", F.lit(True)), "id", "left")
-    a = by_digest.where("old OR young OR at > first_at").select("sha")
+    judged = batch.join(classes.select("id", "first_at"), "id").join(hits.withColumn("hit", F.lit(True)), "id", "left")
+    a = judged.where("hit OR at > first_at").select("sha")
     held = batch.where("content IS NOT NULL")
-    b = held.join(store.read("contents"), "content", "left_semi").select("sha")
+    known = store.entries(CONTENT).select("key", F.col("content").alias("kept"))
+    b = held.select("sha", "content", F.xxhash64("content").alias("key")).join(known, "key").where("content = kept").select("sha")
     c = held.join(held.groupBy("content").agg(F.min("at").alias("least")), "content").where("at > least").select("sha")
-    return a.unionByName(b).unionByName(c).distinct(), batch, fps
+    return a.unionByName(b).unionByName(c).distinct(), classes
 
 
 def run_batches(history: DataFrame, batches: DataFrame, scratch: Scratch, within: int = WITHIN, buckets: int | None = None) -> DataFrame:
@@ -136,21 +152,22 @@ def run_batches(history: DataFrame, batches: DataFrame, scratch: Scratch, within
     """
     spark = scratch.spark
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    past = scratch.cut(fingerprints(history).select("content", "id", *PARTS), "history")
-    classes = past.where("id IS NOT NULL").groupBy("id").agg(*(F.first(p).alias(p) for p in PARTS))
-    n = past.count()
-    # 13 fingerprints a record with the neighbouring bands, about 12 bits each.
-    words = 1 << max(10, (n * 13 * 12 // 64).bit_length())
+    past = fingerprints(history)
+    digests = scratch.cut(past.where("id IS NOT NULL").groupBy("id").agg(*(F.first(p).alias(p) for p in PARTS)), "digests")
+    # Up to 13 entries a digest with the neighbouring bands, about 12 bits each.
+    words = 1 << max(10, (digests.count() * 13 * 12 // 64).bit_length())
     store = HistoryStore(spark, f"{scratch.path}/store", buckets, words)
-    store.update(past, winnow.banded(winnow.kept(classes, ["id", "head"]), "head", 1, True).select(F.col("key").alias("fp"), "id"))
-    scratch.drop(past)
-    arrivals = scratch.cut(first_deliveries(batches), "arrivals")
+    store.update(past, digests)
+    scratch.drop(digests)
+    arrivals = scratch.cut(first_deliveries(batches), "arrivals", "batch_no")
     numbers = sorted(r[0] for r in arrivals.select("batch_no").distinct().collect())  # one row a batch
     out = None
     for b in numbers:
-        cases, batch, fps = check_batch(arrivals.where(F.col("batch_no") == b), store, scratch, within)
+        batch = arrivals.where(F.col("batch_no") == b)  # its own folder: other batches are not read
+        cases, digests = check_batch(batch, store, scratch, within)
         cases = scratch.cut(cases.select(F.lit(b).alias("batch_no"), "sha"), "cases")
-        store.update(batch, fps)
+        store.update(batch, digests)
+        scratch.drop(digests)
         out = cases if out is None else out.unionByName(cases)
     store.close()
     return out if out is not None else spark.createDataFrame([], "batch_no int, sha string")

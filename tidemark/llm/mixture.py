@@ -79,7 +79,7 @@ def mixture(sized: DataFrame, sources: list[dict]) -> DataFrame:
     sums = d.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     starts = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     within = W.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    at = d.join(starts, ["source", "bucket"]).join(per, "source").withColumn("mid", F.col("start") + F.sum("tokens").over(within) - F.col("tokens") / 2)
+    at = d.join(starts, ["source", "bucket"]).join(per, "source").withColumn("ends", F.col("start") + F.sum("tokens").over(within)).withColumn("mid", F.col("ends") - F.col("tokens") / 2)
     copies = F.explode(F.sequence(F.lit(1), F.col("passes") + F.when(F.col("mid") <= F.col("rest"), 1).otherwise(0)))
     at = at.where("passes > 0 OR mid <= rest").select("doc_id", "source", "tokens", "available", "demand", "integral", "mid", copies.alias("copy"))
     x = F.least((F.col("mid") + (F.col("copy") - 1) * F.col("available")) / F.col("demand"), F.lit(1.0 - 1e-12))

@@ -10,8 +10,8 @@ Rounds and hashes are fixed, and there are 512 tokens, so the order in which a b
 once; a sketch takes, for each bin, the first token of its list that the set holds.
 
 Banding: BANDS bands of ROWS coordinates. Distance 30 leaves at least 98 of 128 tokens equal, a similarity of 98/158;
-all bands then miss such a pair with probability (1 - (98/158)^5)^128 < 5e-6, and closer pairs far less. Pairs that
-share a band are verified on the whole digests.
+all bands then miss such a pair with probability (1 - (98/158)^6)^176 < 4e-5, and closer pairs far less. Pairs that
+share a band are held against each other on one of their two halves first, and verified on the whole digests.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.digest import PARTS, WORDS, distance, length_value
+from tidemark.functions.digest import LOWER, PARTS, UPPER, distance, length_value, plane_distance
 from tidemark.llm.records import fingerprints, ordered_pairs
 from tidemark.session import Scratch
 
-BANDS, ROWS = 128, 5
+BANDS, ROWS = 176, 6
 WITHIN = 30
 TOKENS = 512
 
@@ -83,9 +83,10 @@ def sketch(present: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def band_keys(words: np.ndarray, lists: tuple[np.ndarray, np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """(n, bands) 64-bit keys of (n, 4) words of digest bodies."""
-    shifts = np.arange(62, -1, -2, dtype=np.uint64)
-    crumbs = ((words.astype(np.uint64)[:, :, None] >> shifts) & np.uint64(3)).reshape(len(words), 128).astype(np.int64)
+    """(n, bands) 64-bit keys of (n, 4) words h0, h1, l0, l1 of digests."""
+    shifts = np.arange(63, -1, -1, dtype=np.uint64)
+    planes = ((words.astype(np.uint64)[:, :, None] >> shifts) & np.uint64(1)).reshape(len(words), 2, 128).astype(np.int64)
+    crumbs = 2 * planes[:, 0] + planes[:, 1]
     present = np.zeros((len(words), TOKENS), bool)
     np.put_along_axis(present, crumbs + 4 * np.arange(128), True, axis=1)
     s = sketch(present, lists).reshape(len(words), bands, rows).astype(np.uint64)
@@ -97,19 +98,19 @@ def band_keys(words: np.ndarray, lists: tuple[np.ndarray, np.ndarray], bands: in
 
 
 def with_bands(digests: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, head, bands (array of keys) for rows of id and the packed digest."""
+    """id, the packed digest and bands (array of keys) for rows of the first two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = bin_lists(bands * rows)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                w = np.stack([part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in WORDS], axis=1)
+                w = np.stack([part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (*UPPER, *LOWER)], axis=1)
                 keys = band_keys(w, lists, bands, rows)
                 offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["id", "head", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=[*part.schema.names, "bands"])
 
-    return digests.select("id", "head", *WORDS).mapInArrow(run, "id long, head int, bands array<long>")
+    return digests.select("id", *PARTS).mapInArrow(run, f"id long, head int, {', '.join(f'{p} long' for p in PARTS[1:])}, bands array<long>")
 
 
 def near_digests(digests: DataFrame, scratch: Scratch, within: int = WITHIN) -> DataFrame:
@@ -120,12 +121,14 @@ def near_digests(digests: DataFrame, scratch: Scratch, within: int = WITHIN) ->
     """
     if within > WITHIN:
         raise ValueError(f"bands are laid out for distances up to {WITHIN}")
-    keys = scratch.cut(with_bands(digests), "bands").select("id", "head", F.posexplode("bands").alias("band", "key"))
+    half = lambda x: F.when(F.col("band") % 2 == 0, F.col(f"{x}0")).otherwise(F.col(f"{x}1")).alias(x)
+    keys = scratch.cut(with_bands(digests), "bands").select("id", "head", *UPPER, *LOWER, F.posexplode("bands").alias("band", "key")).select("id", "head", "key", half("h"), half("l"))
     v = length_value(F.col("head"))
     zone = lambda d: F.shiftright((v + d).bitwiseAND(F.lit(255)), 4)
-    asks = keys.select("id", F.xxhash64("key", zone(0)).alias("key"))
-    answers = keys.select(F.col("id").alias("other"), "key", F.explode(F.array_distinct(F.array(zone(-2), zone(0), zone(2)))).alias("zone")).select("other", F.xxhash64("key", "zone").alias("key"))
-    hits = asks.join(answers, "key").where("id <> other").select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+    asks = keys.select("id", F.xxhash64("key", zone(0)).alias("key"), "h", "l")
+    answers = keys.select(F.col("id").alias("other"), "key", F.explode(F.array_distinct(F.array(zone(-2), zone(0), zone(2)))).alias("zone"), F.col("h").alias("oh"), F.col("l").alias("ol")).select("other", F.xxhash64("key", "zone").alias("key"), "oh", "ol")
+    close = (F.col("id") != F.col("other")) & (plane_distance(F.col("h"), F.col("l"), F.col("oh"), F.col("ol")) <= within)
+    hits = asks.join(answers, "key").where(close).select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
     named = lambda s: digests.select(F.col("id").alias(f"id_{s}"), *(F.col(p).alias(f"{s}_{p}") for p in PARTS))
     both = hits.join(named("a"), "id_a").join(named("b"), "id_b")
     return both.select("id_a", "id_b", distance({p: F.col(f"a_{p}") for p in PARTS}, {p: F.col(f"b_{p}") for p in PARTS}).alias("distance")).where(F.col("distance") <= within)

@@ -17,49 +17,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.digest import length_value, values
+from tidemark.functions.digest import LOWER, UPPER, bits, length_value
 
 GRAM = 11
 SIZES = (12,) * 7 + (11,) * 4
-MASK = 4**GRAM - 1
+LONG = SIZES.index(11)
+PLANE, MASK = 2**GRAM - 1, 4**GRAM - 1
 ODD = 0x2545F491 & MASK | 1
 
 
-def _rolled(gram: Column, place: int) -> Column:
-    """The base-4 rolling hash, scrambled one to one, with the place of the gram in its window."""
-    mixed = (gram * F.lit(ODD).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
+def _rolled(upper: Column, lower: Column, place: int) -> Column:
+    """The rolling hash of a gram, its bits scrambled one to one, with the place of the gram in its window."""
+    gram = F.shiftleft(upper, GRAM).bitwiseOR(lower).cast("long")
+    mixed = (gram * F.lit(ODD).cast("long")).bitwiseAND(F.lit(MASK).cast("long")).cast("int")
     mixed = mixed.bitwiseXOR(F.shiftrightunsigned(mixed, 9))
-    return F.shiftleft(mixed, 1).bitwiseOR(F.lit(place).cast("long"))
+    return F.shiftleft(mixed, 1).bitwiseOR(F.lit(place))
 
 
-def fingerprint(window: Column, value: Column, long: Column) -> Column:
-    """Window number and smallest rolling hash of the window's grams; long: the window has 12 values."""
-    one = _rolled(value.bitwiseAND(F.lit(MASK).cast("long")), 0)
-    two = F.least(_rolled(F.shiftrightunsigned(value, 2), 0), _rolled(value.bitwiseAND(F.lit(MASK).cast("long")), 1))
-    return F.shiftleft(window.cast("long"), 2 * GRAM + 1).bitwiseOR(F.when(long, two).otherwise(one))
+def fingerprint(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, window, fp (28 bits: window number and smallest rolling hash of its grams) for rows of windows."""
+    low = lambda c: F.col(c).bitwiseAND(F.lit(PLANE))
+    last = _rolled(low("upper"), low("lower"), 0)
+    pair = F.least(_rolled(F.shiftrightunsigned("upper", 1), F.shiftrightunsigned("lower", 1), 0), _rolled(low("upper"), low("lower"), 1))
+    return df.select(*keep, "window", F.shiftleft("window", 2 * GRAM + 1).bitwiseOR(F.when(F.col("window") < LONG, pair).otherwise(last)).alias("fp"))
 
 
 def windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row a window: keep, window, value."""
+    """One row a window: keep, window, and the two planes of its values."""
     starts = [sum(SIZES[:i]) for i in range(len(SIZES))]
-    w = F.inline(F.array(*(F.struct(F.lit(i).alias("window"), values(s, n).alias("value")) for i, (s, n) in enumerate(zip(starts, SIZES)))))
-    return df.select(*keep, w)
+    each = (F.struct(F.lit(i).alias("window"), bits(UPPER, s, n).alias("upper"), bits(LOWER, s, n).alias("lower")) for i, (s, n) in enumerate(zip(starts, SIZES)))
+    return df.select(*keep, F.inline(F.array(*each)))
 
 
 def kept(df: DataFrame, keep: list[str]) -> DataFrame:
     """The 11 fingerprints of each digest: keep, window, fp."""
-    return windows(df, keep).select(*keep, "window", fingerprint(F.col("window"), F.col("value"), F.col("window") < SIZES.index(11)).alias("fp"))
+    return fingerprint(windows(df, keep), keep)
 
 
 def asked(df: DataFrame, keep: list[str]) -> DataFrame:
-    """The fingerprints of each window and, but for the last window, of all windows one step away."""
-    size = F.when(F.col("window") < SIZES.index(11), 12).otherwise(11)
-    steps = F.explode(F.array(*(F.lit(i) for i in range(-12, 13))))
-    digit = F.expr("shiftright(value, 2 * (abs(step) - 1)) & 3")
-    moved = F.expr("CASE WHEN step = 0 THEN value WHEN step > 0 THEN value + shiftleft(1L, 2 * (step - 1)) ELSE value - shiftleft(1L, 2 * (-step - 1)) END")
-    valid = (F.col("step") == 0) | ((F.abs("step") <= size) & (F.col("window") < len(SIZES) - 1) & F.when(F.col("step") > 0, digit < 3).otherwise(digit > 0))
-    rows = windows(df, keep).select(*keep, "window", "value", steps.alias("step")).where(valid)
-    return rows.select(*keep, "window", fingerprint(F.col("window"), moved, F.col("window") < SIZES.index(11)).alias("fp"))
+    """The fingerprints of each window and, but for the last window, of all windows one step away.
+
+    A step raises or lowers one value by 1: its lower bit flips, and its upper bit flips with a carry.
+    """
+    steps = F.explode(F.array(*(F.lit(i) for i in range(-max(SIZES), max(SIZES) + 1))))
+    rows = windows(df, keep).select(*keep, "window", "upper", "lower", steps.alias("step"))
+    rows = rows.withColumn("at", F.expr("CASE WHEN step = 0 THEN 0 ELSE shiftleft(1, abs(step) - 1) END"))
+    size = F.when(F.col("window") < LONG, 12).otherwise(11)
+    can = F.when(F.col("step") > 0, F.expr("(upper & lower & at) = 0")).otherwise(F.expr("((upper | lower) & at) <> 0"))
+    rows = rows.where((F.col("step") == 0) | ((F.abs("step") <= size) & (F.col("window") < len(SIZES) - 1) & can))
+    carry = F.expr("CASE WHEN step > 0 THEN lower & at ELSE ~lower & at END")
+    return fingerprint(rows.select(*keep, "window", F.col("upper").bitwiseXOR(carry).alias("upper"), F.col("lower").bitwiseXOR(F.col("at")).alias("lower")), keep)
 
 
 def banded(fps: DataFrame, head: str, reach: int, neighbours: bool) -> DataFrame:
