@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.digest import PARTS, distance
+from tidemark.functions.digest import PARTS, distance, length_value
 from tidemark.functions.keys import instant
 from tidemark.llm import winnow
 from tidemark.llm.records import fingerprints
@@ -28,71 +28,58 @@ BITS = 4
 WITHIN = 10
 
 
-FINGERPRINT, DIGEST, CONTENT = 0, 1, 2
+FINGERPRINT, DIGEST, CONTENT, WORD = 0, 1, 2, 3
 
 
 class HistoryStore:
-    """Fingerprints, digests, contents and Bloom filters of all accepted records.
+    """Fingerprints, digests, contents and Bloom words of all accepted records.
 
-    entries holds the first three as (kind, key, id, content, digest), bucketed by key: a fingerprint's key is itself, a
-    digest's its id, a content's a hash of it (the content is compared too). bloom holds (word, set), bucketed by word.
-    path: a folder of its own in the shared file system. buckets: parts of each table, for about 128 MB
-    each. bloom_words: 64-bit words of the filter; with about 12 bits a fingerprint 2-3 % pass by chance.
+    One table of entries (kind, key, id, content, digest), bucketed by key and sorted by kind: a fingerprint's key is
+    itself, a digest's its id, a content's a hash of it (the content is compared too), and a Bloom word's its number, with the
+    bits set in h0. path: a folder of its own in the shared file system. buckets: parts of the table, for about 128 MB each.
+    bloom_words: 64-bit words of the filter; with about 12 bits a fingerprint 2-3 % pass by chance.
     """
 
     def __init__(self, spark, path: str, buckets: int = 12, bloom_words: int = 1 << 20):
         self.spark, self.path, self.buckets, self.bloom_words = spark, path, buckets, bloom_words
-        self.prefix = f"tm_{uuid.uuid4().hex[:10]}"
-        self.made: set[str] = set()
-
-    def _append(self, name: str, df: DataFrame, *keys: str) -> None:
-        # One file a bucket: rows are moved to their bucket before they are written.
-        w = df.repartition(self.buckets, keys[0]).write.bucketBy(self.buckets, keys[0]).sortBy(*keys[::-1]).format("parquet").option("path", f"{self.path}/{name}")
-        w.mode("append" if name in self.made else "overwrite").saveAsTable(f"{self.prefix}_{name}")
-        self.made.add(name)
+        self.name, self.made = f"tm_{uuid.uuid4().hex[:12]}", False
 
     def entries(self, kind: int) -> DataFrame:
-        return self.spark.table(f"{self.prefix}_entries").where(F.col("kind") == kind)
-
-    def bloom(self) -> DataFrame:
-        return self.spark.table(f"{self.prefix}_bloom")
+        return self.spark.table(self.name).where(F.col("kind") == kind)
 
     def close(self) -> None:
-        """Forget the tables' names; the files stay."""
-        for n in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{n}")
+        """Forget the table's name; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def word(self, fp: Column) -> Column:
-        return F.pmod(F.xxhash64(fp), F.lit(self.bloom_words)).cast("int")
-
-    def update(self, contents: DataFrame, digests: DataFrame) -> None:
-        """Accept contents (content) and distinct digests (id and the packed digest): append their entries and Bloom words."""
-        null = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-        fps = answers(digests)
-        words = [F.col(p) for p in PARTS]
-        no_words = [*null("int", "head"), *null("long", *PARTS[1:])]
-        rows = fps.select(F.lit(FINGERPRINT).alias("kind"), F.col("fp").alias("key"), "id", *null("string", "content"), *no_words)
-        rows = rows.unionByName(digests.select(F.lit(DIGEST).alias("kind"), F.col("id").alias("key"), "id", *null("string", "content"), *words))
+        return F.pmod(F.xxhash64(fp), F.lit(self.bloom_words))
+
+    def update(self, contents: DataFrame, digests: DataFrame, fps: DataFrame) -> None:
+        """Accept contents (content), distinct digests (id and the packed digest) and their fingerprints (fp, id)."""
+
+        def rows(df: DataFrame, kind: int, key: Column, **have: Column) -> DataFrame:
+            types = {"id": "long", "content": "string", "head": "int"} | dict.fromkeys(PARTS[1:], "long")
+            return df.select(F.lit(kind).alias("kind"), key.alias("key"), *(have.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()))
+
         held = contents.where("content IS NOT NULL").select("content").distinct()
-        rows = rows.unionByName(held.select(F.lit(CONTENT).alias("kind"), F.xxhash64("content").alias("key"), *null("long", "id"), "content", *no_words))
-        self._append("entries", rows, "key", "kind")
-        self._append("bloom", fps.groupBy(self.word(F.col("fp")).alias("word")).agg(F.bit_or(_mask(F.xxhash64("fp", F.lit(7)))).alias("set")), "word")
+        words = fps.groupBy(self.word(F.col("fp")).alias("word")).agg(F.bit_or(_mask(F.xxhash64("fp", F.lit(7)))).alias("set"))
+        out = rows(fps, FINGERPRINT, F.col("fp"), id=F.col("id")).unionByName(rows(digests, DIGEST, F.col("id"), **{p: F.col(p) for p in PARTS}))
+        out = out.unionByName(rows(held, CONTENT, F.xxhash64("content"), content=F.col("content"))).unionByName(rows(words, WORD, F.col("word"), h0=F.col("set")))
+        # One file a bucket: rows are moved to their bucket before they are written.
+        w = out.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("kind", "key").format("parquet").option("path", self.path)
+        w.mode("append" if self.made else "overwrite").saveAsTable(self.name)
+        self.made = True
 
     def screen(self, fps: DataFrame) -> DataFrame:
-        """The fingerprints that the Bloom filters do not rule out."""
+        """The fingerprints that the Bloom words of some generation do not rule out."""
         probes = fps.withColumn("word", self.word(F.col("fp"))).withColumn("mask", _mask(F.xxhash64("fp", F.lit(7))))
-        hits = probes.join(self.bloom(), "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask"))
-        return hits.select(*fps.columns).distinct()
-
-
-def answers(digests: DataFrame) -> DataFrame:
-    """fp, id: the fingerprints under which digests are kept, in each band of length values they may be asked for."""
-    return winnow.banded(winnow.kept(digests, ["id", "head"]), "head", 1, True).select(F.col("key").alias("fp"), "id")
+        words = self.entries(WORD).select(F.col("key").alias("word"), F.col("h0").alias("set"))
+        return probes.join(words, "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask")).select(*fps.columns).distinct()
 
 
-def questions(digests: DataFrame) -> DataFrame:
-    """fp, id: the fingerprints by which digests ask, in their own band."""
-    return winnow.banded(winnow.kept(digests, ["id", "head"]), "head", 1, False).select(F.col("key").alias("fp"), "id")
+def with_fingerprints(digests: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, fp, own: the fingerprints of digests in each band of length values they may be asked for; own: their own band."""
+    return winnow.banded(winnow.kept(digests, [*keep, "head"]), "head", 1, True).select(*keep, F.col("key").alias("fp"), (F.shiftright("key", 40) == F.shiftright(length_value(F.col("head")), 3)).alias("own"))
 
 
 def _mask(h: Column) -> Column:
@@ -115,8 +102,13 @@ def first_deliveries(batches: DataFrame) -> DataFrame:
     return one.select("sha", "r.*").withColumn("at", F.struct("ts", "sha"))
 
 
-def check_batch(batch: DataFrame, store: HistoryStore, scratch: Scratch, within: int = WITHIN) -> tuple[DataFrame, DataFrame]:
-    """The shas of a batch that repeat the store or an earlier record of the batch; with the batch's distinct digests.
+def batch_classes(records: DataFrame) -> DataFrame:
+    """batch_no, id, first_at and the digest of the distinct digests of each batch; first_at is the least (timestamp, sha)."""
+    return records.where("id IS NOT NULL").groupBy("batch_no", "id").agg(F.min("at").alias("first_at"), *(F.first(p).alias(p) for p in PARTS))
+
+
+def check_batch(batch: DataFrame, classes: DataFrame, fps: DataFrame, store: HistoryStore, within: int = WITHIN) -> DataFrame:
+    """The shas of a batch that repeat the store or an earlier record of the batch.
 
     Of records of one digest (or one content) in the batch only the first can be new; it is new unless the store or
     the first record of another digest, earlier than it, lies within the distance. So classes are compared, and
@@ -124,10 +116,9 @@ def check_batch(batch: DataFrame, store: HistoryStore, scratch: Scratch, within:
     """
     if within > WITHIN:
         raise ValueError(f"the windows find all records up to distance {WITHIN}")
-    classes = scratch.cut(batch.where("id IS NOT NULL").groupBy("id").agg(F.min("at").alias("first_at"), *(F.first(p).alias(p) for p in PARTS)), "classes")
-    asked = questions(classes)
+    asked = fps.where("own").select("fp", "id")
     past = store.screen(asked).join(store.entries(FINGERPRINT).select(F.col("key").alias("fp"), F.col("id").alias("ref")), "fp").select("id", "ref").distinct()
-    here = asked.join(answers(classes).select("fp", F.col("id").alias("ref")), "fp").where("id <> ref").select("id", "ref").distinct()
+    here = asked.join(fps.select("fp", F.col("id").alias("ref")), "fp").where("id <> ref").select("id", "ref").distinct()
     theirs = [F.col(p).alias(f"r_{p}") for p in PARTS]
     old = past.join(store.entries(DIGEST).select(F.col("key").alias("ref"), F.lit(None).cast("struct<ts:timestamp,sha:string>").alias("r_at"), *theirs), "ref")
     young = here.join(classes.select(F.col("id").alias("ref"), F.col("first_at").alias("r_at"), *theirs), "ref")
@@ -140,7 +131,7 @@ def check_batch(batch: DataFrame, store: HistoryStore, scratch: Scratch, within:
     known = store.entries(CONTENT).select("key", F.col("content").alias("kept"))
     b = held.select("sha", "content", F.xxhash64("content").alias("key")).join(known, "key").where("content = kept").select("sha")
     c = held.join(held.groupBy("content").agg(F.min("at").alias("least")), "content").where("at > least").select("sha")
-    return a.unionByName(b).unionByName(c).distinct(), classes
+    return a.unionByName(b).unionByName(c).distinct()
 
 
 def run_batches(history: DataFrame, batches: DataFrame, scratch: Scratch, within: int = WITHIN, buckets: int | None = None) -> DataFrame:
@@ -154,20 +145,20 @@ def run_batches(history: DataFrame, batches: DataFrame, scratch: Scratch, within
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     past = fingerprints(history)
     digests = scratch.cut(past.where("id IS NOT NULL").groupBy("id").agg(*(F.first(p).alias(p) for p in PARTS)), "digests")
-    # Up to 13 entries a digest with the neighbouring bands, about 12 bits each.
+    # Up to 13 fingerprints a digest with the neighbouring bands, about 12 bits each.
     words = 1 << max(10, (digests.count() * 13 * 12 // 64).bit_length())
     store = HistoryStore(spark, f"{scratch.path}/store", buckets, words)
-    store.update(past, digests)
-    scratch.drop(digests)
+    store.update(past, digests, with_fingerprints(digests, ["id"]))
     arrivals = scratch.cut(first_deliveries(batches), "arrivals", "batch_no")
+    classes = scratch.cut(batch_classes(arrivals), "classes", "batch_no")
+    fps = scratch.cut(with_fingerprints(classes, ["batch_no", "id"]), "fingerprints", "batch_no")
     numbers = sorted(r[0] for r in arrivals.select("batch_no").distinct().collect())  # one row a batch
     out = None
     for b in numbers:
-        batch = arrivals.where(F.col("batch_no") == b)  # its own folder: other batches are not read
-        cases, digests = check_batch(batch, store, scratch, within)
-        cases = scratch.cut(cases.select(F.lit(b).alias("batch_no"), "sha"), "cases")
-        store.update(batch, digests)
-        scratch.drop(digests)
+        # A batch has its own folders: other batches are not read.
+        mine = [t.where(F.col("batch_no") == b).drop("batch_no") for t in (arrivals, classes, fps)]
+        cases = scratch.cut(check_batch(*mine, store, within).select(F.lit(b).alias("batch_no"), "sha"), "cases")
+        store.update(mine[0], mine[1], mine[2].select("fp", "id"))
         out = cases if out is None else out.unionByName(cases)
     store.close()
     return out if out is not None else spark.createDataFrame([], "batch_no int, sha string")
