@@ -21,7 +21,7 @@ HEX, UPPER_BITS, LOWER_BITS = "0123456789ABCDEF", "0011001122332233", "010123230
 def usable(tlsh: Column | str, status: Column | str) -> Column:
     """The 70 upper-case hex digits of a digest whose status reads VALID, else null."""
     d = F.upper(trimmed(tlsh))
-    return F.when((F.upper(trimmed(status)) == "VALID") & d.rlike("^(T1)?[0-9A-F]{70}$"), F.right(d, F.lit(70)))
+    return F.when((F.upper(trimmed(status)) == "VALID") & d.rlike(r"^(T1)?[0-9A-F]{70}\z"), F.right(d, F.lit(70)))
 
 
 def pack(digest: Column) -> list[Column]:
