@@ -182,7 +182,7 @@ def assign_folds(members: DataFrame, group: str, cls: str, folds: int = 5) -> Da
         return __import__("pandas").DataFrame({group: list(out), "fold": list(out.values())})
 
     kind = members.schema[group].dataType.simpleString()
-    return counts.groupBy(F.lit(1)).applyInPandas(greedy, f"`{group}` {kind}, fold int")
+    return counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(greedy, f"`{group}` {kind}, fold int")
 
 
 def two_sides(members: DataFrame, month: str, group: str, cls: str) -> DataFrame:
