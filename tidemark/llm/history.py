@@ -3,8 +3,9 @@
 The store keeps, of everything accepted so far, winnowed fingerprints, digests, content hashes and Bloom filters, each
 bucketed by its lookup key in the shared folder. A batch's fingerprints are first held against the Bloom filters; only
 positives are looked up in the fingerprint store; hits are verified on the whole digests; then both are updated by
-appending what the batch brought. Buckets keep the history in place: only rows of the batch are
-shuffled, and the history is never fingerprinted, sorted or joined with itself again.
+appending what the batch brought. Buckets keep the history in place: only rows of the batch are shuffled and
+built into hash tables (by hint, as a broadcast would go through the driver for every lookup of every batch), and
+the history is never fingerprinted, sorted or joined with itself again.
 
 A Bloom filter is a table of 64-bit words. A fingerprint belongs to one word (a partition of the
 filter) and sets BITS bits there; it may have arrived before if all of them are set. Filters are kept per
@@ -74,7 +75,7 @@ class HistoryStore:
         """The fingerprints that the Bloom words of some generation do not rule out."""
         probes = fps.withColumn("word", self.word(F.col("fp"))).withColumn("mask", _mask(F.xxhash64("fp", F.lit(7))))
         words = self.entries(WORD).select(F.col("key").alias("word"), F.col("h0").alias("set"))
-        return probes.join(words, "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask")).select(*fps.columns).distinct()
+        return probes.hint("shuffle_hash").join(words, "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask")).select(*fps.columns).distinct()
 
 
 def with_fingerprints(digests: DataFrame, keep: list[str]) -> DataFrame:
@@ -117,10 +118,10 @@ def check_batch(batch: DataFrame, classes: DataFrame, fps: DataFrame, store: His
     if within > WITHIN:
         raise ValueError(f"the windows find all records up to distance {WITHIN}")
     asked = fps.where("own").select("fp", "id")
-    past = store.screen(asked).join(store.entries(FINGERPRINT).select(F.col("key").alias("fp"), F.col("id").alias("ref")), "fp").select("id", "ref").distinct()
+    past = store.screen(asked).hint("shuffle_hash").join(store.entries(FINGERPRINT).select(F.col("key").alias("fp"), F.col("id").alias("ref")), "fp").select("id", "ref").distinct()
     here = asked.join(fps.select("fp", F.col("id").alias("ref")), "fp").where("id <> ref").select("id", "ref").distinct()
     theirs = [F.col(p).alias(f"r_{p}") for p in PARTS]
-    old = past.join(store.entries(DIGEST).select(F.col("key").alias("ref"), F.lit(None).cast("struct<ts:timestamp,sha:string>").alias("r_at"), *theirs), "ref")
+    old = past.hint("shuffle_hash").join(store.entries(DIGEST).select(F.col("key").alias("ref"), F.lit(None).cast("struct<ts:timestamp,sha:string>").alias("r_at"), *theirs), "ref")
     young = here.join(classes.select(F.col("id").alias("ref"), F.col("first_at").alias("r_at"), *theirs), "ref")
     near = distance({p: F.col(p) for p in PARTS}, {p: F.col(f"r_{p}") for p in PARTS}) <= within
     hits = old.unionByName(young).join(classes, "id").where((F.col("r_at").isNull() | (F.col("r_at") < F.col("first_at"))) & near).select("id").distinct()
@@ -129,7 +130,7 @@ def check_batch(batch: DataFrame, classes: DataFrame, fps: DataFrame, store: His
     a = judged.where("hit OR at > first_at").select("sha")
     held = batch.where("content IS NOT NULL")
     known = store.entries(CONTENT).select("key", F.col("content").alias("kept"))
-    b = held.select("sha", "content", F.xxhash64("content").alias("key")).join(known, "key").where("content = kept").select("sha")
+    b = held.select("sha", "content", F.xxhash64("content").alias("key")).hint("shuffle_hash").join(known, "key").where("content = kept").select("sha")
     c = held.join(held.groupBy("content").agg(F.min("at").alias("least")), "content").where("at > least").select("sha")
     return a.unionByName(b).unionByName(c).distinct()
 
