@@ -52,7 +52,7 @@ def forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         for batch in batches:
             con.register("part", pa.Table.from_batches([batch.rename_columns(["k", "t"])]))
-            got = con.execute(sql).to_arrow_table()
+            got = con.sql(sql).to_arrow_table()
             con.unregister("part")
             yield from got.rename_columns([key, "form"]).cast(pa.schema([(key, batch.schema.field(0).type), ("form", pa.string())])).combine_chunks().to_batches()
 

@@ -9,7 +9,7 @@ training. Documents are range-sorted by position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -59,12 +59,38 @@ def plan(sized: DataFrame, targets: DataFrame, schedule: dict[str, list[float]]
     return out
 
 
-def mixture(sized: DataFrame, sources: list[dict]) -> DataFrame:
+def last_pass(at: DataFrame, scratch: Scratch, rounds: int = 4) -> tuple[DataFrame, Column]:
+    """Which documents the last, partial pass of their source takes, so that it ends close to its demand.
+
+    Documents are taken in order while they end within the demand. The first that does not is passed over and the later
+    ones move up, a few times, so that one long document cannot leave a gap; then the one that is cut by the demand is
+    taken if its middle lies within. Each round finds one document a source.
+    """
+    at = scratch.cut(at, "order")
+    skipped: dict = {}
+    shift, passed = F.lit(0), F.lit(False)
+    for k in range(rounds + 1):
+        ends = F.col("ends") - shift
+        cut = at.where((F.col("rest") > 0) & ~passed & (ends > F.col("rest"))).groupBy("source").agg(F.min(F.struct("ends", "h", "doc_id", "tokens")).alias("c")).select("source", "c.*").collect()  # one row a source
+        if k == rounds or not cut:
+            break
+        for r in cut:
+            skipped.setdefault(r["source"], []).append((r["ends"], r["doc_id"], r["tokens"]))
+        shift, passed = F.lit(0), F.lit(False)
+        for s, docs in skipped.items():
+            for e, i, t in docs:
+                here = F.col("source") == s
+                shift = shift + F.when(here & (F.col("ends") > e), t).otherwise(0)
+                passed = passed | (here & (F.col("doc_id") == i))
+    return at, (F.col("rest") > 0) & ~passed & (F.col("ends") - shift - F.col("tokens") / 2 <= F.col("rest"))
+
+
+def mixture(sized: DataFrame, sources: list[dict], scratch: Scratch) -> DataFrame:
     """doc_id, source, copy, tokens, position in [0, 1): one row a use of a document, sorted by position.
 
     Documents of a source stand in hash order. Their running token count is a prefix sum over hash buckets plus one within
     the bucket, so a source that holds most documents is spread like any other. Whole passes take every document; the
-    last pass takes documents while the middle of the document lies within the demand. Documents without tokens and
+    last pass takes documents up to the demand (last_pass). Documents without tokens and
     sources without a target are not used.
     """
     spark = sized.sparkSession
@@ -80,8 +106,9 @@ def mixture(sized: DataFrame, sources: list[dict]) -> DataFrame:
     starts = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
     within = W.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     at = d.join(starts, ["source", "bucket"]).join(per, "source").withColumn("ends", F.col("start") + F.sum("tokens").over(within)).withColumn("mid", F.col("ends") - F.col("tokens") / 2)
-    copies = F.explode(F.sequence(F.lit(1), F.col("passes") + F.when(F.col("mid") <= F.col("rest"), 1).otherwise(0)))
-    at = at.where("passes > 0 OR mid <= rest").select("doc_id", "source", "tokens", "available", "demand", "integral", "mid", copies.alias("copy"))
+    at, last = last_pass(at, scratch)
+    copies = F.explode(F.sequence(F.lit(1), F.col("passes") + F.when(last, 1).otherwise(0)))
+    at = at.where((F.col("passes") > 0) | last).select("doc_id", "source", "tokens", "available", "demand", "integral", "mid", copies.alias("copy"))
     x = F.least((F.col("mid") + (F.col("copy") - 1) * F.col("available")) / F.col("demand"), F.lit(1.0 - 1e-12))
     at = at.withColumn("x", x).withColumn("k", F.expr("size(filter(integral, w -> w <= x)) - 1"))
     position = F.expr(f"least((k + (x - integral[k]) / (integral[k + 1] - integral[k])) / (size(integral) - 1), {1.0 - 1e-12})")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, canonical, dictionary, groups, history, mixture, neardup, overlap, splits
+from tidemark.llm import bpe, canonical, dictionary, groups, history, mixture, neardup, oracle, overlap, splits
 from tidemark.session import Scratch, table
 
 
@@ -68,14 +68,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixture.sizes(table(spark, d, "documents"), Scratch(spark, "p9"))
-    return mixture.mixture(sized, mixture.plan(sized, table(spark, d, "mix_target")))
+    scratch = Scratch(spark, "p9")
+    sized = mixture.sizes(table(spark, d, "documents"), scratch)
+    return mixture.mixture(sized, mixture.plan(sized, table(spark, d, "mix_target")), scratch)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixture.sizes(table(spark, d, "documents"), Scratch(spark, "p9"))
+    scratch = Scratch(spark, "p9")
+    sized = mixture.sizes(table(spark, d, "documents"), scratch)
     sources = mixture.plan(sized, table(spark, d, "mix_target"))
-    return mixture.report(mixture.mixture(sized, sources), sources)
+    return mixture.report(mixture.mixture(sized, sources, scratch), sources)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
