@@ -41,31 +41,32 @@ def translations() -> tuple[str, str]:
     return "".join(out), "".join(out.values())
 
 
-def forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, form: the consistent form of each text; null stays null, empty stays empty. Applying it twice changes nothing."""
+def forms(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, form and the columns to keep: the consistent form of each text; null stays null, empty stays empty. Applying it twice changes nothing."""
     a, b = translations()
-    sql = f"SELECT k, nfc_normalize(translate(regexp_replace(t, '{INVISIBLE}', '', 'g'), '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')) AS form FROM part"
+    names = [key, *keep]
+    sql = f"SELECT {', '.join(f'k{i}' for i in range(len(names)))}, nfc_normalize(translate(regexp_replace(t, '{INVISIBLE}', '', 'g'), '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')) AS form FROM part"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         for batch in batches:
-            con.register("part", pa.Table.from_batches([batch.rename_columns(["k", "t"])]))
+            con.register("part", pa.Table.from_batches([batch.rename_columns([*(f"k{i}" for i in range(len(names))), "t"])]))
             got = con.sql(sql).to_arrow_table()
             con.unregister("part")
-            yield from got.rename_columns([key, "form"]).cast(pa.schema([(key, batch.schema.field(0).type), ("form", pa.string())])).combine_chunks().to_batches()
+            to = [pa.field(n, batch.schema.field(i).type) for i, n in enumerate(names)]
+            yield from got.rename_columns([*names, "form"]).cast(pa.schema([*to, pa.field("form", pa.string())])).combine_chunks().to_batches()
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, form string")
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, text).mapInArrow(run, f"{kinds}, form string")
 
 
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, form_key, text_key (SHA-256 of form and stored text) of documents that show something."""
-    shown = forms(docs.select("doc_id", "text").where("text IS NOT NULL"), "doc_id", "text").where(F.col("form").rlike(r"[^ \t\n\r\x0b\f]"))
-    keyed = shown.select("doc_id", F.unhex(F.sha2("form", 256)).alias("form_key"))
-    stored = docs.where("text IS NOT NULL").select("doc_id", F.unhex(F.sha2("text", 256)).alias("text_key"))
-    return scratch.cut(keyed.join(stored, "doc_id"), "classes")
+    stored = docs.where("text IS NOT NULL").select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("text_key"))
+    shown = forms(stored, keep=("text_key",)).where(F.col("form").rlike(r"[^ \t\n\r\x0b\f]"))
+    return scratch.cut(shown.select("doc_id", F.unhex(F.sha2("form", 256)).alias("form_key"), "text_key"), "classes")
 
 
 def found(docs: DataFrame, scratch: Scratch) -> DataFrame:
