@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -76,3 +77,12 @@ def remove(spark: SparkSession, path: str) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of a folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files and broadcasts of finished steps, which it does when the driver collects garbage.
+
+    For long loops of jobs on the driver, between whose steps nothing of the old plans is needed.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
