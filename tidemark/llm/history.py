@@ -23,7 +23,7 @@ from tidemark.functions.digest import PARTS, distance, length_value
 from tidemark.functions.keys import instant
 from tidemark.llm import winnow
 from tidemark.llm.records import fingerprints
-from tidemark.session import Scratch
+from tidemark.session import Scratch, clean_up
 
 BITS = 4
 WITHIN = 10
@@ -161,5 +161,6 @@ def run_batches(history: DataFrame, batches: DataFrame, scratch: Scratch, within
         cases = scratch.cut(check_batch(*mine, store, within).select(F.lit(b).alias("batch_no"), "sha"), "cases")
         store.update(mine[0], mine[1], mine[2].select("fp", "id"))
         out = cases if out is None else out.unionByName(cases)
+        clean_up(spark)
     store.close()
     return out if out is not None else spark.createDataFrame([], "batch_no int, sha string")
