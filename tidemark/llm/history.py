@@ -129,8 +129,9 @@ def check_batch(batch: DataFrame, classes: DataFrame, fps: DataFrame, store: His
     judged = batch.join(classes.select("id", "first_at"), "id").join(hits.withColumn("hit", F.lit(True)), "id", "left")
     a = judged.where("hit OR at > first_at").select("sha")
     held = batch.where("content IS NOT NULL")
+    # Equality written as two bounds: as a second join key it would have the store shuffled by both.
     known = store.entries(CONTENT).select("key", F.col("content").alias("kept"))
-    b = held.select("sha", "content", F.xxhash64("content").alias("key")).hint("shuffle_hash").join(known, "key").where("content = kept").select("sha")
+    b = held.select("sha", "content", F.xxhash64("content").alias("key")).hint("shuffle_hash").join(known, "key").where("content <= kept AND content >= kept").select("sha")
     c = held.join(held.groupBy("content").agg(F.min("at").alias("least")), "content").where("at > least").select("sha")
     return a.unionByName(b).unionByName(c).distinct()
 
