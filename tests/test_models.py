@@ -158,3 +158,15 @@ def test_package_rules():
     spec["entries"]["3"]["weights"]["Q"][0] += 1e-6
     with pytest.raises(assertions.DataError):
         assertions.package(spec)
+
+
+def test_simulation(spark):
+    from tidemark.operators import simulation
+
+    x = simulation.run(spark, [1, 4, 7], 20, 200)
+    s = {(r["layout"], r["view"]): r for r in simulation.summary(x).collect()}
+    assert x.count() == 180 and len(s) == 9
+    rows = np.array([(r["point"], r["uncertainty"]) for r in x.where("layout = 4 AND view = 1").collect()])
+    stat = lambda a: a[:, 1].mean() / a[:, 0].std(ddof=1)
+    drop = np.array([stat(np.delete(rows, i, 0)) for i in range(20)])
+    assert abs(s[4, 1]["ratio"] - stat(rows)) < 1e-9 and abs(s[4, 1]["jackknife_se"] - np.sqrt(19 / 20 * np.square(drop - drop.mean()).sum())) < 1e-9

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,15 +42,24 @@ def shared_root(spark: SparkSession) -> str:
         root = getattr(spark, "_tidemark_root", None)
         if not root:
             root = spark._tidemark_root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-            atexit.register(lambda path=root[7:]: __import__("shutil").rmtree(path, ignore_errors=True))
+            atexit.register(shutil.rmtree, root[7:], True)
     return root
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive the loss of an executor."""
+    """Tables written to the shared folder: they cut lineage and survive the loss of an executor.
+
+    They stay until close(), or the end of the driver where the folder is a file path, as results read them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        if self.path.startswith("file:"):
+            atexit.register(shutil.rmtree, self.path.split(":", 1)[1].replace("///", "/", 1), True)
+
+    def close(self) -> None:
+        """Delete all tables of this scratch; nothing may read them afterwards."""
+        remove(self.spark, self.path)
 
     def cut(self, df: DataFrame, name: str = "t", *by: str) -> DataFrame:
         """Write df and return the written table; earlier parts of the plan are not run again. by: columns that make folders."""
