@@ -180,3 +180,14 @@ def test_assertions_fail_closed(spark):
     for i, v in ((0, "A" * 64), (1, "test"), (2, "2019-09-01 00:00:00"), (3, " "), (4, None), (5, "TNULL")):
         with pytest.raises(assertions.DataError):
             assertions.inventory(spark.createDataFrame([(*row[:i], v, *row[i + 1 :])], names), "train", "2019-08-01", "2020-02-01")
+
+
+def test_global_rank(spark, scratch):
+    from tidemark.operators.ranking import global_rank
+
+    r = random.Random(9)
+    values = [(r.randrange(300), i) for i in range(1000)]
+    t = spark.createDataFrame(values, "v int, i int")
+    got = {(x["v"], x["i"]): x["rank_index"] for x in global_rank(t.repartition(5), ["v", "i"], scratch).collect()}
+    assert got == {x: k for k, x in enumerate(sorted(values))}
+    assert global_rank(t.where("false"), ["v", "i"], scratch).count() == 0

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.ranking import global_rank
+from tidemark.session import Scratch
+
 
 def utc_month(ts: Column) -> Column:
     """yyyy-MM in UTC of a timestamp (the session's zone is UTC)."""
@@ -88,12 +91,12 @@ def first_copies(df: DataFrame, content: str, ts: str, sample: str) -> DataFrame
     return df.join(first, content, "left")
 
 
-def evenly_spaced(df: DataFrame, order: list[str], picks: int = 10) -> DataFrame:
-    """The rows at ranks i * (n - 1) // (picks - 1) of the given total order, i = 0..picks-1, with pick."""
-    n = df.count()
-    wanted = sorted({i * (n - 1) // (picks - 1) for i in range(picks)}) if n else []
-    ranked = df.withColumn("_r", F.row_number().over(W.orderBy(*order)) - 1)
-    return ranked.where(F.col("_r").isin(wanted)).withColumnRenamed("_r", "rank_index") if wanted else ranked.where("false").withColumnRenamed("_r", "rank_index")
+def evenly_spaced(df: DataFrame, order: list[str], scratch: Scratch, picks: int = 10) -> DataFrame:
+    """The rows at ranks i * (n - 1) // (picks - 1) of the given total order, i = 0..picks-1, with rank_index."""
+    ranked = global_rank(df, order, scratch)
+    n = ranked.count()
+    wanted = sorted({i * (n - 1) // (picks - 1) for i in range(picks)}) if n else [-1]
+    return ranked.where(F.col("rank_index").isin(wanted))
 
 
 def group_summary(df: DataFrame, group: str, cls: str, retained: Column) -> DataFrame:

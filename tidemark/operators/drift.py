@@ -28,7 +28,10 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def kernel_means(x: DataFrame, y: DataFrame, by: str, embedding: str, h: float, weight: str | None = None) -> DataFrame:
-    """by, sum over pairs of w * w' * exp(-d / 2h); without weights the mean over pairs. Pairs are made within a class only."""
+    """by, sum over pairs of w * w' * exp(-d / 2h); without weights the mean over pairs.
+
+    Pairs are made within a class only, of stages that were capped before (at most 128 rows a class, capped_groups).
+    """
     cols = lambda d, s: d.select(by, F.col(embedding).alias(f"e{s}"), (F.col(weight) if weight else F.lit(1.0)).alias(f"w{s}"))
     k = cols(x, 1).join(cols(y, 2), by).select(by, "w1", "w2", F.exp(-squared_distance(F.col("e1"), F.col("e2")) / (2 * h)).alias("k"))
     total = F.sum(F.col("w1") * F.col("w2") * F.col("k"))
@@ -54,7 +57,8 @@ def group_mass(df: DataFrame, by: list[str], group: str, out: str = "weight") ->
 def weighted_median(df: DataFrame, value: str, mass: str, by: list[str] = ()) -> DataFrame:
     """by, median: the least value at which the cumulative integer mass reaches half of the total.
 
-    Masses are whole numbers, so the comparison is exact. Equal values are summed first.
+    Masses are whole numbers, so the comparison is exact. Equal values are summed first. A key's distinct values are
+    one window's rows: the distances of a reference capped at 128 a class.
     """
     v = df.groupBy(*by, value).agg(F.sum(F.col(mass).cast("decimal(38,0)")).alias("_w"))
     w = W.partitionBy(*by)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.digest import PARTS, distance, length_value, pack, usable
 from tidemark.functions.keys import clean, instant
+from tidemark.operators.ranking import global_rank
 from tidemark.session import Scratch
 
 #: The 128 values fall into as many blocks; with up to `BLOCKS - 1` unequal values a block is equal.
@@ -206,7 +207,7 @@ def two_sides(members: DataFrame, month: str, group: str, cls: str) -> DataFrame
     return counts.groupBy(month).applyInPandas(greedy, f"`{month}` {t[month]}, `{group}` {t[group]}, side int")
 
 
-def numbered(df: DataFrame, root: str, prefix: str, out: str = "group_no") -> DataFrame:
-    """Adds names like F000001, numbered by the order of roots, over the distinct roots only."""
-    roots = df.select(root).distinct().withColumn(out, F.format_string(prefix + "%06d", F.row_number().over(W.orderBy(root))))
+def numbered(df: DataFrame, root: str, prefix: str, scratch: Scratch, out: str = "group_no") -> DataFrame:
+    """Adds names like F000001, numbered by the order of roots."""
+    roots = global_rank(df.select(root).distinct(), [root], scratch).select(root, F.format_string(prefix + "%06d", F.col("rank_index") + 1).alias(out))
     return df.join(roots, root)

@@ -9,7 +9,7 @@ from tidemark.operators import cohort
 from tidemark.plans.registry import query
 from tidemark.plans.tables import EDGES, FOLDS, MANIFEST, SAMPLES, TRAIN, VALIDATION, folds, inventory, manifest, samples
 from tidemark.functions.keys import clean
-from tidemark.session import table
+from tidemark.session import Scratch, table
 
 TRAIN_FROM, TRAIN_END = "2019-08", "2020-02"
 COHORT = f"k AS (SELECT family FROM m WHERE split = 'train' AND family IS NOT NULL GROUP BY family HAVING count(DISTINCT sha) >= 50 AND count(DISTINCT month) >= 3)"
@@ -283,14 +283,14 @@ def w01(spark, d):
 @query("W05_evenly_spaced", f"WITH {TRAIN}, o AS (SELECT DISTINCT sha, file_size FROM t WHERE file_size > 0 AND file_size <= 5242880), r AS (SELECT *, row_number() OVER (ORDER BY file_size, sha) - 1 AS rank_index, count(*) OVER () AS n FROM o) SELECT sha, file_size, rank_index FROM r WHERE rank_index IN (SELECT i * (n - 1) // 9 FROM range(10) t(i))")
 def w05(spark, d):
     o = inventory(spark, d, "train_tlsh").where("file_size > 0 AND file_size <= 5242880").select("sha", "file_size").distinct()
-    return cohort.evenly_spaced(o, ["file_size", "sha"])
+    return cohort.evenly_spaced(o, ["file_size", "sha"], Scratch(spark, "w05"))
 
 
 @query("W06_group_numbers", f"WITH {FOLDS}, g AS (SELECT DISTINCT group_id FROM f WHERE group_id IS NOT NULL AND month = '2019-12') SELECT group_id, 'F' || lpad(row_number() OVER (ORDER BY group_id)::VARCHAR, 6, '0') AS group_no FROM g")
 def w06(spark, d):
     from tidemark.operators.retention import numbered
 
-    return numbered(folds(spark, d).where("group_id IS NOT NULL AND month = '2019-12'").select("group_id").distinct(), "group_id", "F")
+    return numbered(folds(spark, d).where("group_id IS NOT NULL AND month = '2019-12'").select("group_id").distinct(), "group_id", "F", Scratch(spark, "w06"))
 
 
 @query("T01_canonical_order", f"WITH {VALIDATION} SELECT sha, ts FROM v ORDER BY ts, sha")
