@@ -75,7 +75,7 @@ class HistoryStore:
         """The fingerprints that the Bloom words of some generation do not rule out."""
         probes = fps.withColumn("word", self.word(F.col("fp"))).withColumn("mask", _mask(F.xxhash64("fp", F.lit(7))))
         words = self.entries(WORD).select(F.col("key").alias("word"), F.col("h0").alias("set"))
-        return probes.hint("shuffle_hash").join(words, "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask")).select(*fps.columns).distinct()
+        return probes.hint("shuffle_hash").join(words, "word").where(F.col("set").bitwiseAND(F.col("mask")) == F.col("mask")).select(*fps.columns)
 
 
 def with_fingerprints(digests: DataFrame, keep: list[str]) -> DataFrame:
@@ -103,13 +103,21 @@ def first_deliveries(batches: DataFrame) -> DataFrame:
     return one.select("sha", "r.*").withColumn("at", F.struct("ts", "sha"))
 
 
+def with_copies(records: DataFrame) -> DataFrame:
+    """records with copy: an earlier record of the same batch, by (timestamp, sha), has the same digest or content."""
+    firsts = lambda k: records.where(F.col(k).isNotNull()).groupBy("batch_no", k).agg(F.min("at").alias(f"_{k}"))
+    marked = records.join(firsts("id"), ["batch_no", "id"], "left").join(firsts("content"), ["batch_no", "content"], "left")
+    later = lambda k: F.coalesce(F.col("at") > F.col(f"_{k}"), F.lit(False))
+    return marked.select(*records.columns, (later("id") | later("content")).alias("copy"))
+
+
 def batch_classes(records: DataFrame) -> DataFrame:
     """batch_no, id, first_at and the digest of the distinct digests of each batch; first_at is the least (timestamp, sha)."""
     return records.where("id IS NOT NULL").groupBy("batch_no", "id").agg(F.min("at").alias("first_at"), *(F.first(p).alias(p) for p in PARTS))
 
 
 def check_batch(batch: DataFrame, classes: DataFrame, fps: DataFrame, store: HistoryStore, within: int = WITHIN) -> DataFrame:
-    """The shas of a batch that repeat the store or an earlier record of the batch.
+    """The shas of a batch (as from with_copies) that repeat the store or an earlier record of the batch.
 
     Of records of one digest (or one content) in the batch only the first can be new; it is new unless the store or
     the first record of another digest, earlier than it, lies within the distance. So classes are compared, and
@@ -124,16 +132,12 @@ def check_batch(batch: DataFrame, classes: DataFrame, fps: DataFrame, store: His
     old = past.hint("shuffle_hash").join(store.entries(DIGEST).select(F.col("key").alias("ref"), F.lit(None).cast("struct<ts:timestamp,sha:string>").alias("r_at"), *theirs), "ref")
     young = here.join(classes.select(F.col("id").alias("ref"), F.col("first_at").alias("r_at"), *theirs), "ref")
     near = distance({p: F.col(p) for p in PARTS}, {p: F.col(f"r_{p}") for p in PARTS}) <= within
-    hits = old.unionByName(young).join(classes, "id").where((F.col("r_at").isNull() | (F.col("r_at") < F.col("first_at"))) & near).select("id").distinct()
+    hits = old.unionByName(young).join(classes, "id").where((F.col("r_at").isNull() | (F.col("r_at") < F.col("first_at"))) & near).select("id")
 
-    judged = batch.join(classes.select("id", "first_at"), "id").join(hits.withColumn("hit", F.lit(True)), "id", "left")
-    a = judged.where("hit OR at > first_at").select("sha")
-    held = batch.where("content IS NOT NULL")
     # Equality written as two bounds: as a second join key it would have the store shuffled by both.
     known = store.entries(CONTENT).select("key", F.col("content").alias("kept"))
-    b = held.select("sha", "content", F.xxhash64("content").alias("key")).hint("shuffle_hash").join(known, "key").where("content <= kept AND content >= kept").select("sha")
-    c = held.join(held.groupBy("content").agg(F.min("at").alias("least")), "content").where("at > least").select("sha")
-    return a.unionByName(b).unionByName(c).distinct()
+    same = batch.where("content IS NOT NULL").select("sha", "content", F.xxhash64("content").alias("key")).hint("shuffle_hash").join(known, "key").where("content <= kept AND content >= kept")
+    return batch.where("copy").select("sha").unionByName(batch.join(hits, "id").select("sha")).unionByName(same.select("sha")).distinct()
 
 
 def run_batches(history: DataFrame, batches: DataFrame, scratch: Scratch, within: int = WITHIN, buckets: int | None = None) -> DataFrame:
@@ -151,7 +155,7 @@ def run_batches(history: DataFrame, batches: DataFrame, scratch: Scratch, within
     words = 1 << max(10, (digests.count() * 13 * 12 // 64).bit_length())
     store = HistoryStore(spark, f"{scratch.path}/store", buckets, words)
     store.update(past, digests, with_fingerprints(digests, ["id"]))
-    arrivals = scratch.cut(first_deliveries(batches), "arrivals", "batch_no")
+    arrivals = scratch.cut(with_copies(first_deliveries(batches)), "arrivals", "batch_no")
     classes = scratch.cut(batch_classes(arrivals), "classes", "batch_no")
     fps = scratch.cut(with_fingerprints(classes, ["batch_no", "id"]), "fingerprints", "batch_no")
     numbers = sorted(r[0] for r in arrivals.select("batch_no").distinct().collect())  # one row a batch
