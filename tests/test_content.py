@@ -208,3 +208,10 @@ def test_stateful_retention():
     assert pd.concat(f(("k",), [two], st))["decision"].tolist() == ["KEEP"]
     with pytest.raises(ValueError):
         list(f(("k",), [one], st))
+
+
+def test_resize_of_tall_layouts():
+    r = np.random.default_rng(11)
+    m, ok = r.random((5000, 8)), r.random((5000, 8)) < 0.7
+    down, across = bv.overlaps(5000, 4).astype(float), bv.overlaps(8, 4).T.astype(float)
+    assert np.allclose(bv.masked_resize(m, ok, 4), (down @ (m * ok) @ across) / (down @ ok @ across))

@@ -88,14 +88,18 @@ def overlaps(source: int, target: int) -> np.ndarray:
 def masked_resize(m: np.ndarray, ok: np.ndarray, side: int = SIDE) -> np.ndarray:
     """Area mean over valid cells only, exact integer overlaps; a region without valid cells is 0."""
     h, w = m.shape
-    b = overlaps(w, side).T.astype(float)
-    num, den = np.zeros((side, side)), np.zeros((side, side))
-    for o in range(side):
-        first, last = o * h // side, min(h, -(-(o + 1) * h // side))
-        r = np.arange(first, last)
-        a = np.maximum(0, np.minimum((o + 1) * h, (r + 1) * side) - np.maximum(o * h, r * side)).astype(float)
-        num[o] = (a @ (m[first:last] * ok[first:last])) @ b
-        den[o] = (a @ ok[first:last]) @ b
+    across = overlaps(w, side).T.astype(float)
+    num, den = (m * ok) @ across, ok.astype(float) @ across
+    if h <= 4096:
+        down = overlaps(h, side).astype(float)
+        num, den = down @ num, down @ den
+    else:  # a target row meets few source rows
+        rows = []
+        for o in range(side):
+            r = np.arange(o * h // side, min(h, -(-(o + 1) * h // side)))
+            a = np.maximum(0, np.minimum((o + 1) * h, (r + 1) * side) - np.maximum(o * h, r * side)).astype(float)
+            rows.append((a @ num[r], a @ den[r]))
+        num, den = (np.array(x) for x in zip(*rows))
     return np.divide(num, den, out=np.zeros_like(num), where=den > 0)
 
 
