@@ -34,7 +34,7 @@ def b01(spark, d):
     return c.select("doc_id", F.size("s").alias("n"), F.element_at("s", 1).alias("first_state"), F.element_at("s", -1).alias("last_state"))
 
 
-@query("B02_transitions", "WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) > 0), t AS (SELECT doc_id, substr(h, i, 1) AS a, substr(h, i + 1, 1) AS b FROM h, range(1, 200000) r(i) WHERE i < length(h)), c AS (SELECT doc_id, a, b, count(*) AS n FROM t GROUP BY 1, 2, 3), w AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, a) AS tot FROM c) SELECT doc_id, ('0x' || a)::INT * 16 + ('0x' || b)::INT AS cell, (n * 255 // tot)::INT AS value FROM w WHERE n * 255 // tot > 0")
+@query("B02_transitions", "WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) > 0), t AS (SELECT doc_id, substr(h, i, 1) AS a, substr(h, i + 1, 1) AS b FROM (SELECT doc_id, h, unnest(range(1, length(h))) AS i FROM h)), c AS (SELECT doc_id, a, b, count(*) AS n FROM t GROUP BY 1, 2, 3), w AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, a) AS tot FROM c) SELECT doc_id, ('0x' || a)::INT * 16 + ('0x' || b)::INT AS cell, (n * 255 // tot)::INT AS value FROM w WHERE n * 255 // tot > 0")
 def b02(spark, d):
     c = _contents(spark, d).where("length(content) > 0").select("doc_id", F.posexplode(byteviews.transition_image(F.col("content"), 4)).alias("cell", "value"))
     return c.where("value > 0")
