@@ -23,7 +23,7 @@ r AS (SELECT DISTINCT a AS sha, a AS root FROM l UNION SELECT l.b, r.root FROM r
 SELECT sha, min(root) AS group_sha FROM r GROUP BY sha"""
 
 P4 = f"""WITH {TRAIN}, vv AS (SELECT {c('sha')} AS sha, batch_no, {instant('timestamp')} AS seen, {c('disarmed_content_sha256')} AS content, tlsh, tlsh_status, row_number() OVER (PARTITION BY {c('sha')} ORDER BY batch_no, {instant('timestamp')}) AS k FROM validation_tlsh),
-vd AS (SELECT sha, batch_no, seen, content, CASE WHEN {c('tlsh_status')} = 'valid' AND regexp_full_match(upper(trim(tlsh)), '(T1)?[0-9A-F]{{70}}') THEN right(upper(trim(tlsh)), 70) END AS digest FROM vv WHERE k = 1),
+vd AS (SELECT sha, batch_no, seen, content, CASE WHEN {c('tlsh_status')} = 'valid' AND regexp_full_match({c('tlsh')}, '(t1)?[0-9a-f]{{70}}') THEN upper(right({c('tlsh')}, 70)) END AS digest FROM vv WHERE k = 1),
 n AS (SELECT *, row_number() OVER (ORDER BY batch_no, seen, sha) AS pos FROM vd), {packed('x', 'n', 'sha, pos')}, {packed('y', 't', 'sha')}
 SELECT sha FROM n WHERE content IN (SELECT content FROM t WHERE content IS NOT NULL)
 UNION SELECT b.sha FROM n a JOIN n b ON a.content = b.content AND a.pos < b.pos
