@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.cohort import ranked_by_hash
+
 
 def equal_class_moments(df: DataFrame, cls: str, embedding: str) -> DataFrame:
     """dim, mean, std: the mean of class means, and the root of the mean over classes of the mean squared deviation from it."""
@@ -73,6 +75,37 @@ def class_pairs(df: DataFrame, by: str, sample: str, embedding: str) -> DataFram
     return a.join(b, by).where("left < right").select(by, "left", "right", squared_distance(F.col("ea"), F.col("eb")).alias("distance"))
 
 
+#: Least common multiple of the possible numbers k(k-1)/2 of pairs, up to 128 of them a class: equal class masses in whole numbers.
+PAIR_MASS = 5_765_760
+
+
+def reference_pairs(df: DataFrame, by: str, sample: str, prefix: Column, cap: int = 128) -> DataFrame:
+    """by, left, right: the first `cap` pairs of each class in hash order (ranked_by_hash), left < right.
+
+    df is a capped reference (at most 128 rows a class). Only ids are paired; embeddings join the pairs that stay.
+    """
+    a, b = df.select(by, F.col(sample).alias("left")), df.select(by, F.col(sample).alias("right"))
+    pairs = a.join(b, by).where("left < right").withColumn("_l", F.col("left").cast("string")).withColumn("_r", F.col("right").cast("string"))
+    return ranked_by_hash(pairs, [by], ["_l", "_r"], prefix, cap).select(by, "left", "right")
+
+
+def train_bandwidth(reference: DataFrame, by: str, sample: str, embedding: str, prefix: Column) -> DataFrame:
+    """median: the lower weighted median of the distances of the 128 ranked pairs of each class, all classes of equal mass.
+
+    reference: z-scores of at most 128 rows a class. A class of one row has no pair; that is an error, as the classes
+    would not have equal mass.
+    """
+    pairs = reference_pairs(reference, by, sample, prefix)
+    e = reference.select(by, sample, embedding)
+    left, right = (e.select(by, F.col(sample).alias(s), F.col(embedding).alias(f"_{s}")) for s in ("left", "right"))
+    far = pairs.join(left, [by, "left"]).join(right, [by, "right"]).select(by, squared_distance(F.col("_left"), F.col("_right")).alias("distance"))
+    n = pairs.groupBy(by).agg(F.count("*").alias("_n"))
+    lone = F.raise_error(F.lit("a class has fewer than 2 reference rows"))
+    n = reference.select(by).distinct().join(n, by, "left").withColumn("mass", F.when(F.col("_n").isNull(), lone.cast("long")).otherwise((F.lit(PAIR_MASS) / F.col("_n")).cast("long"))).select(by, "mass")
+    # From the classes to their pairs, so that a class without pairs is seen.
+    return weighted_median(n.join(far, by, "left"), "distance", "mass")
+
+
 def capped_groups(df: DataFrame, by: list[str], stage: str, group: str, rank: str) -> DataFrame:
     """Per key and stage, before and after the cap n = least stage size (at most 128): samples, groups, groups lost, largest group."""
     per = df.groupBy(*by, stage).agg(F.count("*").alias("samples_before"), F.count_distinct(group).alias("groups_before"))

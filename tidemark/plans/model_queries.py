@@ -324,6 +324,32 @@ def w02(spark, d):
     return cohort.ranked_by_hash(s, ["label"], ["id"], F.lit('"ref"'), 8).select("label", "vec_id", "rank")
 
 
+#: The whole reference of W02; W02_capped_reference above keeps 8 rows a class of it.
+@query("W02_reference_128", f"WITH {STAGED}, rk AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY sha256('[\"ref\",\"' || vec_id || '\"]'), vec_id::VARCHAR) AS rank FROM st WHERE stage = 'train') SELECT label, vec_id, rank FROM rk WHERE rank <= 128")
+def w02_128(spark, d):
+    return _reference(spark, d).select("label", "vec_id", "rank")
+
+
+def _reference(spark, d):
+    s = _staged(spark, d).where("stage = 'train'").withColumn("id", F.col("vec_id").cast("string"))
+    return cohort.ranked_by_hash(s, ["label"], ["id"], F.lit('"ref"'), 128)
+
+
+def _reference_z(spark, d, df):
+    """z-scores of rows by the equal-class moments of the reference."""
+    return drift.z_scores(df, "e", drift.equal_class_moments(_reference(spark, d), "label", "e"))
+
+
+def _bandwidth(spark, d):
+    return drift.train_bandwidth(_reference_z(spark, d, _reference(spark, d)), "label", "vec_id", "e", F.lit('"pair"'))
+
+
+@query("E19_train_bandwidth")
+def e19(spark, d):
+    """W02's 128 rows and W03's 128 pairs a class, z-scores of the reference, equal mass a class."""
+    return _bandwidth(spark, d)
+
+
 @query("W03_pair_rank", f"WITH {STAGED}, q AS (SELECT a.label, a.vec_id AS l, b.vec_id AS r, sha256('[\"pair\",\"' || a.vec_id || '\",\"' || b.vec_id || '\"]') AS h FROM st a JOIN st b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.stage = 'train' AND b.stage = 'train'), z AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, l::VARCHAR, r::VARCHAR) AS k FROM q) SELECT label, l, r FROM z WHERE k <= 128")
 def w03(spark, d):
     s = _staged(spark, d).where("stage = 'train'").select("label", "vec_id")

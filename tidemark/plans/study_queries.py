@@ -46,15 +46,9 @@ def e02(spark, d):
 
 
 def _z_stages(spark, d):
-    z = mq._z(spark, d)
-    return z.where("stage = 'A'"), z.where("stage = 'B'"), z.where("stage = 'train'")
-
-
-def _bandwidth(train):
-    r = F.row_number().over(W.partitionBy("label").orderBy(F.sha2(F.col("vec_id").cast("string"), 256), "vec_id"))
-    ref = train.withColumn("r", r).where("r <= 128")
-    p = drift.class_pairs(ref, "label", "vec_id", "e")
-    return drift.weighted_median(p.withColumn("mass", F.lit(1)), "distance", "mass").first()[0]
+    """A and B on the reference's z-scores, and the bandwidth of the reference's pairs."""
+    z = mq._reference_z(spark, d, mq._staged(spark, d))
+    return z.where("stage = 'A'"), z.where("stage = 'B'"), mq._bandwidth(spark, d).first()[0]
 
 
 @query("E20_rank_and_condition")
@@ -66,15 +60,13 @@ def e20(spark, d):
 
 @query("E21_drift_measurement")
 def e21(spark, d):
-    a, b, train = _z_stages(spark, d)
-    h = _bandwidth(train)
+    a, b, h = _z_stages(spark, d)
     return drift.class_mmd2(a, b, "label", "e", h).agg(F.avg("mmd2").alias("mmd2")).select(F.lit(h).alias("bandwidth"), "mmd2", (F.col("mmd2") / 2).alias("drift"))
 
 
 @query("E23_sampling_sensitivity")
 def e23(spark, d):
-    a, b, train = _z_stages(spark, d)
-    h = _bandwidth(train)
+    a, b, h = _z_stages(spark, d)
     r = F.row_number().over(W.partitionBy("label").orderBy(F.sha2(F.col("vec_id").cast("string"), 256), "vec_id"))
     cap = lambda x: x.withColumn("r", r).where("r <= 64").drop("r")
     mass = lambda x: drift.group_mass(x, ["label"], "group_id")
@@ -107,8 +99,7 @@ def e31(spark, d):
 def e35(spark, d):
     """Temperature on A, class-balanced loss on B, drift from A to B, and the weights that follow, per view."""
     loss = metrics.balanced_loss(_calibrated(spark, d), ["view"], "label", "nll").withColumnRenamed("class_balanced", "loss")
-    a, b, train = _z_stages(spark, d)
-    h = _bandwidth(train)
+    a, b, h = _z_stages(spark, d)
     q = drift.class_mmd2(a, b, "label", "e", h).agg((F.avg("mmd2") / 2).alias("drift"))
     both = loss.join(F.broadcast(q), F.lit(True)).withColumn("k", F.lit(0))
     w = metrics.softmax_weights(both, ["k"], -F.col("loss")).withColumnRenamed("weight", "q_weight")
