@@ -67,3 +67,50 @@ def test_bandwidth_gives_classes_equal_mass(spark):
     assert abs(drift.train_bandwidth(z, "label", "vec_id", "e", F.lit('"pair"')).first()["median"] - bandwidth(label, ids, x)) < 1e-9
     with pytest.raises(Exception, match="fewer than 2"):
         drift.train_bandwidth(z.where("vec_id > 0"), "label", "vec_id", "e", F.lit('"pair"')).collect()
+
+
+def sums_of(spark, view=None):
+    """(groups, n, total nll) of seed 0: of one view by class, or of the mixture."""
+    from tidemark.plans.tables import fused, predictions
+
+    t = (predictions(spark, FOLDER).where(f"seed = 0 AND view = {view}") if view is not None else fused(spark, FOLDER).where("seed = 0")).select("group_id", "label", "nll").toPandas()
+    groups = np.sort(t.group_id.unique())
+    return groups, t.assign(g=np.searchsorted(groups, t.group_id))
+
+
+@tables
+def test_2000_exponential_draws(spark):
+    losses = []
+    for view in range(3):
+        groups, t = sums_of(spark, view)
+        w = np.random.default_rng(42).exponential(size=(2000, len(groups)))
+        cls = []
+        for _, x in t.groupby("label"):
+            n, v = (np.bincount(x.g, k, len(groups)) for k in (None, x.nll))
+            cls.append((w @ v) / (w @ n))
+        losses.append(np.mean(cls, 0))
+    cov = np.cov(losses, ddof=1)
+    got = {r["view"]: r for r in QUERIES["E24_A33_exponential_draws"](spark, FOLDER).collect()}
+    for v, x in enumerate(losses):
+        assert abs(got[v]["mean"] - x.mean()) < 1e-9 and abs(got[v]["uncertainty"] - x.std(ddof=1)) < 1e-9
+        assert np.allclose([got[v][f"q_{q}"] for q in ("0_025", "0_5", "0_975")], np.quantile(x, [0.025, 0.5, 0.975]))
+        assert np.allclose([got[v][f"covariance_{u}"] for u in range(3)], cov[v])
+
+
+@tables
+def test_2000_multinomial_draws(spark):
+    groups, t = sums_of(spark)
+    g = len(groups)
+    n, v = (np.bincount(t.g, k, g) for k in (None, t.nll))
+    d = np.random.default_rng(42).multinomial(g, np.full(g, 1 / g), size=2000)
+    want = (d @ v) / (d @ n)
+    got = {r["replicate"]: r["nll"] for r in QUERIES["E25_multinomial_draws"](spark, FOLDER).collect()}
+    assert len(got) == 2000 and np.allclose([got[i] for i in range(2000)], want)
+    x = QUERIES["A32_distribution"](spark, FOLDER).first()
+    assert abs(x["sd"] - want.std(ddof=1)) < 1e-9 and abs(x["q_0_5"] - np.quantile(want, 0.5)) < 1e-9
+    q = {r["level"]: r["quantile"] for r in QUERIES["E26_multinomial_intervals"](spark, FOLDER).collect()}
+    assert np.allclose([q[0.025], q[0.975]], np.quantile(want, [0.025, 0.975]))
+    m = embeddings()
+    hit = np.array([[(d[r, np.unique(np.searchsorted(groups, x // 3))] > 0).any() for r in range(500)] for _, x in m.groupby("label").vec_id])
+    p = {r["class"]: r["missed_share"] for r in QUERIES["E30_multinomial_pilot"](spark, FOLDER).collect()}
+    assert np.allclose([p[c] for c in sorted(p)], 1 - hit.mean(1))

@@ -2,28 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def multinomial_draws(spark: SparkSession, groups: list[str], replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """replicate, group_id, multiplicity: PCG64 draws of G groups with replacement. A bounded parameter table."""
-    import numpy as np
-    import pandas as pd
+def _draws(spark: SparkSession, groups: list, replicates: int, seed: int, column: str, kind: str, draw: Callable, tasks: int = 8) -> DataFrame:
+    """replicate, group_id, column without zeros: rows of one PCG64 stream, made on the executors.
 
-    g = len(groups)
-    d = np.random.default_rng(seed).multinomial(g, np.full(g, 1 / g), size=replicates)
-    r, c = np.nonzero(d)
-    return spark.createDataFrame(pd.DataFrame({"replicate": r.astype("int32"), "group_id": np.array(groups, object)[c], "multiplicity": d[r, c]}))
+    draw(rng, g, n) gives the next n x g values. The stream cannot be entered in its middle, so a task makes it from the start
+    up to its own replicates and drops what comes before; a step holds about a million values.
+    """
+    g, names = len(groups), "string" if groups and isinstance(groups[0], str) else "bigint"
+    step = max(1, 1_000_000 // max(g, 1))
 
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
 
-def exponential_draws(spark: SparkSession, groups: list[str], replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """replicate, group_id, weight: exponential(1) weights."""
-    import numpy as np
-    import pandas as pd
+        at = np.array(groups)
+        for b in batches:
+            for lo, hi in zip(b["lo"], b["hi"]):
+                rng = np.random.default_rng(seed)
+                for r in range(0, hi, step):
+                    d = draw(rng, g, min(step, replicates - r))
+                    i, c = np.nonzero(d)
+                    keep = (i + r >= lo) & (i + r < hi)
+                    i, c = i[keep], c[keep]
+                    if len(i):
+                        yield pd.DataFrame({"replicate": (i + r).astype("int32"), "group_id": at[c], column: d[i, c]})
+
+    parts = spark.range(0, tasks, 1, tasks).select((F.col("id") * replicates / tasks).cast("int").alias("lo"), ((F.col("id") + 1) * replicates / tasks).cast("int").alias("hi"))
+    return parts.mapInPandas(work, f"replicate int, group_id {names}, {column} {kind}")
+
+
+def multinomial_draws(spark: SparkSession, groups: list, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """replicate, group_id, multiplicity: PCG64 draws of G groups with replacement; groups that a replicate misses have no row."""
 
-    d = np.random.default_rng(seed).exponential(size=(replicates, len(groups)))
-    return spark.createDataFrame(pd.DataFrame({"replicate": np.repeat(np.arange(replicates, dtype="int32"), len(groups)), "group_id": groups * replicates, "weight": d.ravel()}))
+    def draw(rng, g, n):
+        import numpy as np
+
+        return rng.multinomial(g, np.full(g, 1 / g), size=n)
+
+    return _draws(spark, groups, replicates, seed, "multiplicity", "bigint", draw)
+
+
+def exponential_draws(spark: SparkSession, groups: list, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """replicate, group_id, weight: exponential(1) weights."""
+    return _draws(spark, groups, replicates, seed, "weight", "double", lambda rng, g, n: rng.exponential(size=(n, g)))
 
 
 def hash_draws(spark: SparkSession, groups: DataFrame, replicates: int, weight: Column) -> DataFrame:

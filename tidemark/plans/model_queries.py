@@ -258,6 +258,51 @@ def e30(spark, d):
     return x.select("class", "samples", "groups", R("effective_groups"), "largest", R("absence"), R("missed_share"))
 
 
+def _groups(sums):
+    """The groups in the order of the draws; as many as the draws have columns."""
+    return [r[0] for r in sums.select("group_id").distinct().orderBy("group_id").collect()]
+
+
+def _bootstrap(spark, d):
+    s = _sums(spark, d)
+    draws = resample.multinomial_draws(spark, _groups(s)).withColumnRenamed("multiplicity", "weight")
+    return resample.resampled(draws, s, VALUES)
+
+
+@query("E24_A33_exponential_draws")
+def e24_whole(spark, d):
+    """2,000 exponential draws: mean, SD, quantiles of the equal-class loss of each view, and its covariance with every view."""
+    s = resample.group_sums(predictions(spark, d).where("seed = 0"), "group_id", ["nll"], ["view", "label"])
+    draws = resample.exponential_draws(spark, _groups(s))
+    q = resample.resampled(draws, s, ["nll"], by=["view", "label"]).groupBy("replicate").agg(*(_class_mean(v).alias(f"v{v}") for v in range(3)))
+    pick = lambda f: [f(v) for v in range(3)]
+    each = pick(lambda v: F.struct(F.lit(v).alias("view"), F.avg(f"v{v}").alias("mean"), F.stddev_samp(f"v{v}").alias("uncertainty"), *(F.percentile(f"v{v}", F.lit(x)).alias(f"q_{str(x).replace('.', '_')}") for x in (0.025, 0.5, 0.975)), *(F.covar_samp(f"v{v}", f"v{u}").alias(f"covariance_{u}") for u in range(3))))
+    return q.agg(F.array(*each).alias("views")).select(F.inline("views"))
+
+
+def _class_mean(view):
+    return F.avg(F.when(F.col("view") == view, F.col("nll")))
+
+
+@query("E25_multinomial_draws")
+def e25_whole(spark, d):
+    """2,000 draws of whole groups, as in the reference."""
+    return _bootstrap(spark, d)
+
+
+@query("E26_multinomial_intervals")
+def e26_whole(spark, d):
+    return resample.intervals(_bootstrap(spark, d), [], "nll", [0.025, 0.975])
+
+
+@query("E30_multinomial_pilot")
+def e30_whole(spark, d):
+    """500 draws, the most that the reference's pilot allows."""
+    m = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 3").alias("group_id"), F.col("label").alias("class")).agg(F.count("*").alias("n"))
+    groups = _groups(m)
+    return resample.support_pilot(m, resample.multinomial_draws(spark, groups, 500), len(groups))
+
+
 @query("A34_summaries", f"WITH {LOGITS}{QUALITY} SELECT view, round(avg(loss), 6) AS mean, round(stddev_samp(loss), 6) AS sample_sd, round(min(loss), 6) AS least, round(max(loss), 6) AS most FROM ql GROUP BY view")
 def a34(spark, d):
     return metrics.spread(_losses(spark, d), ["view"], "loss").select("view", *(R(c) for c in ("mean", "sample_sd", "least", "most")))
@@ -377,7 +422,7 @@ def e22(spark, d):
 
 @query("A32_distribution")
 def a32(spark, d):
-    return resample.distribution(_resampled(spark, d), "nll", [0.0, 0.025, 0.5, 0.975, 1.0])
+    return resample.distribution(_bootstrap(spark, d), "nll", [0.0, 0.025, 0.5, 0.975, 1.0])
 
 
 @query("A32_histogram", f"WITH {LOGITS}{FUSED}, r AS (SELECT min(nll) AS lo, max(nll) AS hi FROM u), b AS (SELECT least(floor((nll - lo) / (hi - lo) * 40), 39)::INT AS bin, count(*) AS n FROM u, r GROUP BY 1) SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(40) t(i) LEFT JOIN b ON b.bin = i")
