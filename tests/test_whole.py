@@ -114,3 +114,38 @@ def test_2000_multinomial_draws(spark):
     hit = np.array([[(d[r, np.unique(np.searchsorted(groups, x // 3))] > 0).any() for r in range(500)] for _, x in m.groupby("label").vec_id])
     p = {r["class"]: r["missed_share"] for r in QUERIES["E30_multinomial_pilot"](spark, FOLDER).collect()}
     assert np.allclose([p[c] for c in sorted(p)], 1 - hit.mean(1))
+
+
+@tables
+def test_20000_seed_and_group_draws(spark):
+    from tidemark.plans.tables import fused
+
+    t = fused(spark, FOLDER).select("seed", "group_id", "correct").toPandas()
+    groups = np.sort(t.group_id.unique())
+    g = len(groups)
+    at = np.searchsorted(groups, t.group_id)
+    k = np.array([np.bincount(at[t.seed == s], t.correct[t.seed == s].astype(float), g) for s in range(5)])
+    n = np.bincount(at[t.seed == 0], minlength=g)
+    rng, want = np.random.Generator(np.random.PCG64(42)), []
+    for _ in range(20_000):
+        ss, gg = rng.integers(0, 5, size=5), rng.integers(0, g, size=g)
+        want.append((k[ss][:, gg].sum(1) / n[gg].sum()).mean())
+    levels = [0.0025, 0.025, 0.975, 0.9975]
+    got = {r["level"]: r["quantile"] for r in QUERIES["E29_seed_group_draws"](spark, FOLDER).collect()}
+    assert np.allclose([got[x] for x in levels], np.quantile(want, levels), atol=1e-9)
+
+
+@tables
+def test_whole_counts_of_flags_and_simulation(spark, monkeypatch):
+    from tidemark.operators import resample, simulation
+
+    made, simulated = [], []
+    draws, run = resample.multinomial_draws, simulation.run
+    monkeypatch.setattr(resample, "multinomial_draws", lambda *a: made.append(draws(*a)) or made[-1])
+    monkeypatch.setattr(simulation, "run", lambda *a: simulated.append(run(*a)) or simulated[-1])
+    QUERIES["E28_bootstrap_flags"](spark, FOLDER)
+    assert made[0].agg(F.count_distinct("replicate")).first()[0] == 2000
+    QUERIES["E31_uncertainty_simulation"](spark, FOLDER)
+    assert simulated[0].select("layout", "dataset").distinct().count() == 2100
+    x = simulated[0].where("layout = 3 AND dataset = 299").orderBy("view").toPandas()
+    assert np.allclose(x.uncertainty, simulation.one_dataset(3, 299, 2000)[1])

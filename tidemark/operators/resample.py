@@ -53,6 +53,42 @@ def exponential_draws(spark: SparkSession, groups: list, replicates: int = 2000,
     return _draws(spark, groups, replicates, seed, "weight", "double", lambda rng, g, n: rng.exponential(size=(n, g)))
 
 
+def seed_group_draws(spark: SparkSession, groups: list, seeds: list, replicates: int = 20_000, seed: int = 42, tasks: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(replicate, group_id, weight) and (replicate, seed, multiplicity): each replicate draws as many groups and seeds as there are.
+
+    One PCG64 stream gives a replicate's seeds, then its groups; a task makes it from the start and keeps its own replicates.
+    """
+    g, k = len(groups), len(seeds)
+    names = "string" if groups and isinstance(groups[0], str) else "bigint"
+
+    def rows(what: int, column: str, kind: str, out: str) -> DataFrame:
+        def work(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pandas as pd
+
+            at = np.array((seeds, groups)[what])
+            for b in batches:
+                for lo, hi in zip(b["lo"], b["hi"]):
+                    rng = np.random.Generator(np.random.PCG64(seed))
+                    parts, held = [], 0
+                    for r in range(hi):
+                        drawn = rng.integers(0, k, size=k), rng.integers(0, g, size=g)
+                        if r < lo:
+                            continue
+                        m = np.bincount(drawn[what], minlength=len(at))
+                        c = np.flatnonzero(m)
+                        parts.append((np.full(len(c), r, "int32"), at[c], m[c]))
+                        held += len(c)
+                        if held > 100_000 or r == hi - 1:
+                            yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("replicate", column, out), zip(*parts))})
+                            parts, held = [], 0
+
+        parts = spark.range(0, tasks, 1, tasks).select((F.col("id") * replicates / tasks).cast("int").alias("lo"), ((F.col("id") + 1) * replicates / tasks).cast("int").alias("hi"))
+        return parts.mapInPandas(work, f"replicate int, {column} {kind}, {out} bigint")
+
+    return rows(1, "group_id", names, "weight"), rows(0, "seed", "int", "multiplicity")
+
+
 def hash_draws(spark: SparkSession, groups: DataFrame, replicates: int, weight: Column) -> DataFrame:
     """replicate, group_id, weight with weights given by an expression of both: draws that any engine can repeat."""
     return groups.join(F.broadcast(spark.range(replicates).select(F.col("id").alias("replicate"))), F.lit(True)).select("replicate", "group_id", weight.alias("weight"))
@@ -65,7 +101,8 @@ def group_sums(df: DataFrame, group: str, values: list[str], by: list[str] = ())
 
 def resampled(draws: DataFrame, sums: DataFrame, values: list[str], weight: str = "weight", by: list[str] = ()) -> DataFrame:
     """replicate, by, and per value sum(w * total) / sum(w * n)."""
-    j = draws.join(sums, "group_id")
+    # Draws made in Python look as small as their list of tasks to the optimiser, which would broadcast them.
+    j = draws.join(sums.hint("shuffle_hash"), "group_id")
     return j.groupBy("replicate", *by).agg(*((F.sum(F.col(weight) * F.col(v)) / F.sum(F.col(weight) * F.col("n"))).alias(v) for v in values))
 
 

@@ -449,8 +449,10 @@ def e11(spark, d):
 
 @query("E29_seed_group_draws")
 def e29(spark, d):
+    """20,000 replicates draw seeds and groups; the mean over the drawn seeds of the accuracy on the drawn groups."""
     s = resample.group_sums(fused(spark, d).withColumn("correct", F.col("correct").cast("double")), "group_id", ["correct"], ["seed"])
-    groups = [r[0] for r in s.select("group_id").distinct().orderBy("group_id").collect()]
-    draws = resample.multinomial_draws(spark, groups, 500).withColumnRenamed("multiplicity", "weight")
-    x = resample.resampled(draws, s, ["correct"], by=["seed"]).groupBy("replicate").agg(F.avg("correct").alias("correct"))
+    seeds = [r[0] for r in s.select("seed").distinct().orderBy("seed").collect()]
+    draws, drawn = resample.seed_group_draws(spark, _groups(s), seeds)
+    x = resample.resampled(draws, s, ["correct"], by=["seed"]).join(drawn, ["replicate", "seed"])
+    x = x.groupBy("replicate").agg((F.sum(F.col("multiplicity") * F.col("correct")) / F.sum("multiplicity")).alias("correct"))
     return resample.intervals(x, [], "correct", [0.0025, 0.025, 0.975, 0.9975])

@@ -85,14 +85,14 @@ def e28(spark, d):
     v = predictions(spark, d).where("seed = 0 AND view = 0").select("vec_id", F.col("nll").alias("b"))
     s = resample.group_sums(u.join(v, "vec_id").withColumn("delta", F.col("a") - F.col("b")), "group_id", ["delta"])
     groups = [r[0] for r in s.select("group_id").orderBy("group_id").collect()]
-    draws = resample.multinomial_draws(spark, groups, 500).withColumnRenamed("multiplicity", "weight")
+    draws = resample.multinomial_draws(spark, groups).withColumnRenamed("multiplicity", "weight")
     x = resample.distribution(resample.resampled(draws, s, ["delta"]), "delta", [0.025, 0.5, 0.975])
     return x.withColumn("flagged", (F.abs("skewness") > 2) | (F.col("excess_kurtosis") > 10))
 
 
 @query("E31_uncertainty_simulation")
 def e31(spark, d):
-    return simulation.summary(simulation.run(spark, [1, 2, 3, 4, 5, 6, 7], 40, 500))
+    return simulation.summary(simulation.run(spark, [1, 2, 3, 4, 5, 6, 7]))
 
 
 @query("E35_V05_view_composition")
