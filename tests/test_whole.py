@@ -149,3 +149,10 @@ def test_whole_counts_of_flags_and_simulation(spark, monkeypatch):
     assert simulated[0].select("layout", "dataset").distinct().count() == 2100
     x = simulated[0].where("layout = 3 AND dataset = 299").orderBy("view").toPandas()
     assert np.allclose(x.uncertainty, simulation.one_dataset(3, 299, 2000)[1])
+
+
+@tables
+@pytest.mark.parametrize("name, rows", [("B16_log_softmax_seeds", 30), ("E03_uniform_fusion_seeds", 10), ("E04_weighted_fusion_seeds", 10), ("E05_cross_fit", 3)])
+def test_all_seeds_come_out(spark, name, rows):
+    n = len(embeddings()) * rows
+    assert {r["seed"]: r["count"] for r in QUERIES[name](spark, FOLDER).groupBy("seed").count().collect()} == dict.fromkeys(range(5), n)

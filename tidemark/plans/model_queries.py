@@ -19,6 +19,13 @@ def b16(spark, d):
     return g.withColumn("logp", F.round("logp", 6))
 
 
+@query("B16_log_softmax_seeds", f"WITH {LOGITS} SELECT vec_id, seed, view, i - 1 AS class, round(logp[i], 6) AS logp FROM l, range(1, 11) t(i)")
+def b16_seeds(spark, d):
+    """All seeds; B16_log_softmax above keeps seed 0."""
+    g = logits(spark, d).select("vec_id", "seed", "view", F.posexplode(metrics.log_softmax(F.col("z"))).alias("class", "logp"))
+    return g.withColumn("logp", F.round("logp", 6))
+
+
 @query("B17_argmax", f"WITH {LOGITS} SELECT vec_id, seed, view, predicted FROM p")
 def b17(spark, d):
     return predictions(spark, d).select("vec_id", "seed", "view", F.col("predicted"))
@@ -80,6 +87,17 @@ def e04(spark, d):
     return fused(spark, d, [0.25, 0.0, 0.75]).where("seed = 1").select("vec_id", "seed", F.posexplode("logp").alias("class", "logp")).withColumn("logp", F.round("logp", 6))
 
 
+@query("E03_uniform_fusion_seeds", f"WITH {LOGITS}{FUSED} SELECT vec_id, seed, i - 1 AS class, round(logp[i], 6) AS logp FROM x, range(1, 11) t(i)")
+def e03_seeds(spark, d):
+    """All seeds, as in E04_weighted_fusion_seeds; E03 and E04 above keep seed 1."""
+    return fused(spark, d).select("vec_id", "seed", F.posexplode("logp").alias("class", "logp")).withColumn("logp", F.round("logp", 6))
+
+
+@query("E04_weighted_fusion_seeds", f"WITH {LOGITS} SELECT a.vec_id, a.seed, i - 1 AS class, round(ln(0.25 * exp(a.logp[i]) + 0.75 * exp(c.logp[i])), 6) AS logp FROM l a JOIN l c ON a.vec_id = c.vec_id AND a.seed = c.seed AND a.view = 0 AND c.view = 2, range(1, 11) t(i)")
+def e04_seeds(spark, d):
+    return fused(spark, d, [0.25, 0.0, 0.75]).select("vec_id", "seed", F.posexplode("logp").alias("class", "logp")).withColumn("logp", F.round("logp", 6))
+
+
 QUALITY = ", ql AS (SELECT seed, view, avg(x) AS loss FROM (SELECT seed, view, label, avg(nll) AS x FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 
 
@@ -437,8 +455,8 @@ def e01(spark, d):
 
 @query("E05_cross_fit")
 def e05(spark, d):
-    g = logits(spark, d).where("seed = 0").withColumn("fold", (F.col("group_id") % 5).cast("int"))
-    return calibration.cross_fit(g, ["view"], "fold", logits="z").select("vec_id", "view", "fold", "temperature")
+    g = logits(spark, d).withColumn("fold", (F.col("group_id") % 5).cast("int"))
+    return calibration.cross_fit(g, ["seed", "view"], "fold", logits="z").select("vec_id", "seed", "view", "fold", "temperature")
 
 
 @query("E11_E12_E14_learned_weights")

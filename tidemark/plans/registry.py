@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 #: Columns that are int in Spark and would be BIGINT in DuckDB, by query; "seed view" for those that only have these.
 INTS = {
     "S05_fingerprint": "file_size", "B01_states": "n", "B08_declared_size": "n", "B16_log_softmax": "seed view class", "E03_uniform_fusion": "seed class", "E04_weighted_fusion": "seed class",
+    "B16_log_softmax_seeds": "seed view class", "E03_uniform_fusion_seeds": "seed class", "E04_weighted_fusion_seeds": "seed class",
     "A14_confusion": "seed view label predicted", "A15_per_class": "seed view label", "A28_equal_class_moments": "dim", "B15_z_scores": "dim", "W02_capped_reference": "rank", "W02_reference_128": "rank", "W01_hash_rank": "rank",
     "J03_canonical_order": "ordinal", "W05_evenly_spaced": "rank_index", "C01_class_index": "class_index", "S11_S12_S13_month_dataset": "class_index", "S15_episode_labels": "episode_label",
     **dict.fromkeys(("B17_argmax", "A16_A17_A18_summary", "A18_bins", "A21_balanced_loss", "E06_quality_weights", "E07_quality_drift_weights", "J16_complete_cells"), "seed view"),
