@@ -156,3 +156,11 @@ def test_whole_counts_of_flags_and_simulation(spark, monkeypatch):
 def test_all_seeds_come_out(spark, name, rows):
     n = len(embeddings()) * rows
     assert {r["seed"]: r["count"] for r in QUERIES[name](spark, FOLDER).groupBy("seed").count().collect()} == dict.fromkeys(range(5), n)
+
+
+@tables
+def test_distribution_has_11_quantiles(spark):
+    x = QUERIES["A32_distribution"](spark, FOLDER).first()
+    v = [r["nll"] for r in QUERIES["E25_multinomial_draws"](spark, FOLDER).select("nll").collect()]
+    levels = [0.0, 0.001, 0.01, 0.025, 0.25, 0.5, 0.75, 0.975, 0.99, 0.999, 1.0]
+    assert np.allclose([x[f"q_{str(q).replace('.', '_')}"] for q in levels], np.quantile(v, levels))

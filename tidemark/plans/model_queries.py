@@ -440,7 +440,7 @@ def e22(spark, d):
 
 @query("A32_distribution")
 def a32(spark, d):
-    return resample.distribution(_bootstrap(spark, d), "nll", [0.0, 0.025, 0.5, 0.975, 1.0])
+    return resample.distribution(_bootstrap(spark, d), "nll", [0.0, 0.001, 0.01, 0.025, 0.25, 0.5, 0.75, 0.975, 0.99, 0.999, 1.0])
 
 
 @query("A32_histogram", f"WITH {LOGITS}{FUSED}, r AS (SELECT min(nll) AS lo, max(nll) AS hi FROM u), b AS (SELECT least(floor((nll - lo) / (hi - lo) * 40), 39)::INT AS bin, count(*) AS n FROM u, r GROUP BY 1) SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(40) t(i) LEFT JOIN b ON b.bin = i")
