@@ -164,3 +164,11 @@ def test_distribution_has_11_quantiles(spark):
     v = [r["nll"] for r in QUERIES["E25_multinomial_draws"](spark, FOLDER).select("nll").collect()]
     levels = [0.0, 0.001, 0.01, 0.025, 0.25, 0.5, 0.75, 0.975, 0.99, 0.999, 1.0]
     assert np.allclose([x[f"q_{str(q).replace('.', '_')}"] for q in levels], np.quantile(v, levels))
+
+
+def test_comparison_searches_64_anchors_of_4096_bytes(spark, tmp_path):
+    text = "".join(np.random.default_rng(8).choice(list("abcdefghijklmnop"), 8000))
+    rows = [("long", text, "c"), ("cut", text[:5000], "c"), ("short", text[:4095], "c")]
+    spark.createDataFrame(rows, "doc_id string, text string, campaign_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = {x[0]: x[-1] for x in QUERIES["B11_B12_compare"](spark, str(tmp_path)).collect()}
+    assert r == {"cut": 64, "short": 0}

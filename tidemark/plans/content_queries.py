@@ -79,7 +79,7 @@ def b11(spark, d):
     c = table(spark, d, "documents").select("doc_id", "campaign_id", F.encode("text", "UTF-8").alias("content")).where("length(content) > 0 AND campaign_id IS NOT NULL")
     longest = c.groupBy("campaign_id").agg(F.max_by(F.struct("doc_id", "content"), F.struct(F.length("content"), "doc_id")).alias("l"))
     j = c.join(longest, "campaign_id").where("doc_id <> l.doc_id")
-    return j.select("doc_id", F.col("l.doc_id").alias("longest"), byteviews.compare_columns(F.col("content"), F.col("l.content"), 8, 16).alias("r")).select("doc_id", "longest", "r.prefix", "r.suffix", "r.one_insertion", F.size(F.filter("r.anchors", lambda a: a["status"] == "UNIQUE_MATCH")).alias("unique_anchors"))
+    return j.select("doc_id", F.col("l.doc_id").alias("longest"), byteviews.compare_columns(F.col("content"), F.col("l.content")).alias("r")).select("doc_id", "longest", "r.prefix", "r.suffix", "r.one_insertion", F.size(F.filter("r.anchors", lambda a: a["status"] == "UNIQUE_MATCH")).alias("unique_anchors"))
 
 
 @query("B10_distance", f"WITH {VALIDATION}, {packed('x', 'v', 'sha')} SELECT a.sha AS sha_a, b.sha AS sha_b, {distance_sql('a', 'b')} AS distance FROM x a JOIN x b ON a.lv = b.lv AND a.q1 = b.q1 AND a.sha < b.sha")
