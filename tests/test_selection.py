@@ -150,6 +150,10 @@ def test_skewed_keys(spark):
     assert (hot["row_count"], hot["record_count"], hot["first_seen"].year) == (81, 80, 2019)
     assert (got["family", "rare"]["row_count"], got["family", "rare"]["record_count"]) == (1, 0) and got["family", None]["row_count"] == 1
     assert {(r["field"], r["key_value"]) for r in skew.hot_keys(t, ["family", "group_id"]).collect()} == {("family", "hot"), ("group_id", "g")}
+    # Exactly a twentieth, by rows of which most are null, is hot; one row less is not.
+    tie = spark.createDataFrame([("k",)] * 3 + [("few",)] * 2 + [(None,)] * 55, "family string")
+    hot = skew.hot_keys(tie, ["family"]).collect()
+    assert [(r["key_value"], int(r["pairs"]), r["share"]) for r in hot] == [("k", 180, 0.05)]
     assert skew.key_states(t.where("false"), ["family"]).count() == 0 and skew.hot_keys(t.where("false"), ["family"]).count() == 0
 
 
