@@ -2,7 +2,8 @@
 
 Terms get dense integers from a global dictionary. Blocks of rows (the partitions after records are told
 apart) keep count arrays, one for each range of identifiers they meet, for occurrences and for record
-presence; arrays are summed by identifier range. No array grows with the dictionary: a range has RANGE slots.
+presence; arrays are summed by identifier range. No array grows with the dictionary: a range has RANGE slots. Arrays
+travel without their zeros, so a block that meets one term of a range sends one slot and not RANGE.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         keys = sorted(held)
-        flat = [pa.array([held[k][i].tolist() for k in keys], pa.list_(pa.int64())) for i in (0, 1)]
-        batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *flat], names=["id_range", "occurrences", "presence"])
+        at = [np.flatnonzero(held[k].any(0)) for k in keys]
+        offsets = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+        flat = lambda parts, t: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), t))
+        counts = [flat([held[k][i][x] for k, x in zip(keys, at)], pa.int64()) for i in (0, 1)]
+        batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), flat(at, pa.int32()), *counts], names=["id_range", "slots", "occurrences", "presence"])
         held.clear()
         return batch
 
@@ -45,6 +49,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the arrays of each range; ranges come in order, so only the last of a batch waits for the next one."""
+    left = np.zeros((3, 0), np.int64)
+
+    def out(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["id", "occurrences", "records"])
+
+    for b in batches:
+        lists = [b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3)]
+        ranges = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(b.column(1).offsets.to_numpy()))
+        ids, at = np.unique(np.concatenate([left[0], ranges * RANGE + lists[0]]), return_inverse=True)
+        sums = np.zeros((3, len(ids)), np.int64)
+        sums[0] = ids
+        for i in (1, 2):
+            np.add.at(sums[i], at, np.concatenate([left[i], lists[i]]))
+        split = np.searchsorted(ids, ids[-1] // RANGE * RANGE) if len(ids) else 0
+        left = sums[:, split:]
+        if split:
+            yield out(sums[:, :split])
+    if left.shape[1]:
+        yield out(left)
+
+
 def frequencies(rows: DataFrame, record: str, term: str, also: list[DataFrame] = (), rare_below: int = 5, common_from: float = 0.1, scratch: Scratch | None = None) -> DataFrame:
     """term, occurrences, records, mark for every distinct term of rows, and of `also` (a term column each) with 0.
 
@@ -67,11 +94,10 @@ def frequencies(rows: DataFrame, record: str, term: str, also: list[DataFrame] =
         ids = scratch.cut(ids, "dictionary")
     # Cells of one block and term become one before they are encoded, so a hot term meets the dictionary as one row a block.
     block = cells.where("term IS NOT NULL").withColumn("block", F.spark_partition_id()).groupBy("block", "term").agg(F.sum("n").alias("n"), F.count("record").alias("records"))
-    coded = block.join(ids, "term").select("id", "n", "records")
-    arrays = coded.mapInArrow(_blocks, "id_range long, occurrences array<long>, presence array<long>")
-    slots = arrays.select("id_range", F.posexplode(F.arrays_zip("occurrences", "presence")).alias("slot", "c"))
-    counts = slots.groupBy((F.col("id_range") * RANGE + F.col("slot")).alias("id")).agg(F.sum("c.occurrences").alias("occurrences"), F.sum("c.presence").alias("records"))
-    out = ids.join(counts, "id", "left").select("term", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("records", F.lit(0)).alias("records"))
+    coded = block.join(ids.hint("merge"), "term").select("id", "n", "records")
+    arrays = coded.mapInArrow(_blocks, "id_range long, slots array<int>, occurrences array<long>, presence array<long>")
+    counts = arrays.repartition("id_range").sortWithinPartitions("id_range").mapInArrow(_totals, "id long, occurrences long, records long")
+    out = ids.join(counts.hint("merge"), "id", "left").select("term", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("records", F.lit(0)).alias("records"))
     out = out.join(F.broadcast(total))  # one row
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") >= F.lit(common_from) * F.col("all_records"), "common")
     return out.select("term", "occurrences", "records", mark.alias("mark"))
