@@ -5,16 +5,17 @@ step a join of the frontier with the links. What it reached is taken out by anti
 remain are labelled by minimum propagation in the form that alternates two steps, each a group-by on the links:
 every vertex tells its larger neighbours of the least vertex it knows (large star), then its smaller
 neighbours (small star). Distances halve as links move to ever smaller vertices, so a chain of n records takes
-about log n rounds and not n.
+about log n rounds and not n. The least vertex that a vertex knows is a partial aggregate joined back, so the links of a
+hub spread over tasks; a window over them would put them in one. Joins are sort-merge joins by hint: either side grows
+with the links, so none may be built on the driver, and AQE splits the partitions of hubs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tidemark.functions.keys import clean
+from tidemark.functions.keys import clean, spread_ids
 from tidemark.session import Scratch
 
 MAX_BFS = 12
@@ -46,8 +47,8 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60, max_bfs
     frontier = scratch.cut(top, "frontier")
     reached, whole = frontier, False
     for _ in range(max_bfs):
-        step = both.join(frontier.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
-        frontier = scratch.cut(step.join(reached, "v", "left_anti"), "frontier")
+        step = both.join(frontier.withColumnRenamed("v", "a").hint("merge"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
+        frontier = scratch.cut(step.join(reached.hint("merge"), "v", "left_anti"), "frontier")
         if frontier.isEmpty():
             whole = True
             break
@@ -55,32 +56,33 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60, max_bfs
     least = reached.agg(F.min("v")).first()[0]
     giant = reached.withColumn("c", F.lit(least))
     if whole:
-        rest = links.join(reached.withColumnRenamed("v", "a"), "a", "left_anti")
+        rest = links.join(reached.withColumnRenamed("v", "a").hint("merge"), "a", "left_anti")
     else:
-        as_one = lambda df, k: df.join(giant.select(F.col("v").alias(k), F.col("c").alias("_c")), k, "left").withColumn(k, F.coalesce("_c", k)).drop("_c")
+        as_one = lambda df, k: df.join(giant.select(F.col("v").alias(k), F.col("c").alias("_c")).hint("merge"), k, "left").withColumn(k, F.coalesce("_c", k)).drop("_c")
         rest = as_one(as_one(links, "a"), "b")
     small = minimum_labels(rest, scratch, max_rounds)
     if whole:
         return giant.select(F.col("v").alias("vertex"), F.col("c").alias("component")).unionByName(small)
-    moved = giant.join(small.select(F.col("vertex").alias("c"), "component"), "c", "left").select(F.col("v").alias("vertex"), F.coalesce("component", "c").alias("component"))
-    return moved.unionByName(small.join(moved.select("vertex"), "vertex", "left_anti"))
+    moved = giant.join(small.select(F.col("vertex").alias("c"), "component").hint("merge"), "c", "left").select(F.col("v").alias("vertex"), F.coalesce("component", "c").alias("component"))
+    return moved.unionByName(small.join(moved.select("vertex").hint("merge"), "vertex", "left_anti"))
 
 
 def minimum_labels(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """vertex, component by alternating large and small stars until the links no longer change."""
     now = scratch.cut(_oriented(links), "stars")
     for _ in range(max_rounds):
-        large = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        m = F.least(F.min("v").over(W.partitionBy("u")), F.col("u"))
-        after = large.select("u", "v", m.alias("m")).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        # Large star: u's larger neighbours go to the least of u and all its neighbours.
+        m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        after = both.where("v > u").join(m.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # Small star: u and its smaller neighbours all go to the least of these.
-        w = F.min("lo").over(W.partitionBy("hi"))
-        pairs = after.select("hi", "lo", w.alias("m"))
-        nxt = pairs.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(pairs.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct()
+        w = after.groupBy("hi").agg(F.min("lo").alias("m"))
+        pairs = after.join(w.hint("merge"), "hi")
+        nxt = pairs.select(F.inline(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo"))))).where("hi <> lo").distinct()
         nxt = scratch.cut(nxt, "stars")
         # All stars: no vertex is both a centre and a leaf, and every leaf has one centre.
         many = nxt.groupBy("hi").count().where("count > 1").limit(1)
-        chained = nxt.select(F.col("lo").alias("hi")).join(nxt, "hi", "left_semi").limit(1)
+        chained = nxt.select(F.col("lo").alias("hi")).join(nxt.hint("merge"), "hi", "left_semi").limit(1)
         done = many.select("hi").unionByName(chained).isEmpty()
         scratch.drop(now)
         now = nxt
@@ -98,14 +100,14 @@ def _oriented(links: DataFrame) -> DataFrame:
 def found(edges: DataFrame, samples: DataFrame, scratch: Scratch) -> DataFrame:
     """sha, group_sha of every record in a linked group of two or more.
 
-    The links are on 64-bit numbers for the records (a hash of the sha); the least sha of each component is looked up at
-    the end. Two shas with one hash would show as two names of a number and are refused.
+    Records are numbered (dense integers, no hashes that could clash), links go over numbers, and the least sha of
+    each component is looked up at the end.
     """
     links = scratch.cut(accepted_links(edges, samples), "accepted")
-    names = links.select(F.col("a").alias("sha")).unionByName(links.select(F.col("b").alias("sha"))).distinct().select("sha", F.xxhash64("sha").alias("vertex"))
-    names = scratch.cut(names, "names")
-    labels = components(links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), scratch)
-    rows = names.join(labels, "vertex")
-    least = rows.groupBy("component").agg(F.min("sha").alias("group_sha"), (F.count("*") - F.count_distinct("vertex")).alias("clash"))
-    least = least.select("component", F.when(F.col("clash") > 0, F.raise_error(F.lit("two records share a hash"))).otherwise(F.col("group_sha")).alias("group_sha"))
-    return rows.join(least, "component").select("sha", "group_sha")
+    ends = links.select(F.col("a").alias("sha")).unionByName(links.select(F.col("b").alias("sha")))
+    names = scratch.cut(spread_ids(ends, "sha", "vertex"), "names")
+    number = lambda df, k: df.join(names.select(F.col("sha").alias(k), F.col("vertex").alias(f"n{k}")).hint("merge"), k).drop(k)
+    labels = components(number(number(links, "a"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")), scratch)
+    rows = scratch.cut(names.join(labels.hint("merge"), "vertex").select("sha", "component"), "labelled")
+    least = rows.groupBy("component").agg(F.min("sha").alias("group_sha"))
+    return rows.join(least.hint("merge"), "component").select("sha", "group_sha")
