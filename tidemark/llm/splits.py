@@ -3,22 +3,28 @@
 Records that share a group, directly or through others, form a component, found by Hash-to-Min (Rastogi et
 al. 2013): every node keeps a cluster of nodes, sends the cluster to its least member and the least member to the cluster,
 and unites what it gets, until nothing changes; the node that is least of its component then holds all of it. Here a
-cluster is kept as rows (node, member) of a table, never as a list, so a component of any size spreads over tasks.
+cluster is kept as rows (node, member) of a table, never as a list, and a node's least member comes from a partial
+aggregate that is joined back, so the rows of a hub spread over tasks (a window over them would not).
 
-Components are given splits by weighted rendezvous hashing: component c goes to the split s with the least
--ln(h(c, s)) / w(s), which picks s with probability w(s) and moves few components when shares change.
+Every component gets its split by weighted rendezvous hashing: component c goes to the split s with the least
+-ln(h(c, s)) / w(s), which picks s with probability w(s) and moves few components when weights change. Weights follow
+family and size: components go in waves, the largest of each family first, and a wave's weights are what its family
+still lacks of each split, so the small ones make up for where the large ones fell.
+
+Nodes are 64-bit hashes. Two that agree by chance join two components, which keeps more together than needed, and
+can neither part records nor make a case of leaks(), where keys are compared themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.keys import clean
 from tidemark.session import Scratch
 
-HEAVY = 0.002
+FEW = 20_000
 
 
 def hash_to_min(links: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
@@ -30,22 +36,30 @@ def hash_to_min(links: DataFrame, scratch: Scratch, max_rounds: int = 40) -> Dat
     """
     e = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
     both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct()
+    mark = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0)).alias("x")).first()
     state = scratch.cut(both, "clusters")
+    before = mark(state)
     for _ in range(max_rounds):
-        m = F.least(F.min("u").over(W.partitionBy("v")), F.col("v"))
-        sent = state.select("v", "u", m.alias("m"))
-        nxt = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("m").alias("v"), F.col("v").alias("u")))).alias("r")).select("r.v", "r.u").where("v <> u").distinct()
+        sent = state.join(state.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")).hint("merge"), "v")
+        pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
+        nxt = sent.select(F.inline(F.array(pair("m", "u"), pair("u", "m"), pair("v", "m"), pair("m", "v")))).where("v <> u").distinct()
         nxt = scratch.cut(nxt, "clusters")
         # At rest every row joins a component's least node with another of its nodes.
-        sums = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("v", "u")), F.lit(0)).alias("x")).first()
-        same = sums(state) == sums(nxt)
+        now = mark(nxt)
         scratch.drop(state)
         state = nxt
-        if same:
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"clusters not settled after {max_rounds} rounds")
-    return state.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("component")).select(F.col("v").alias("vertex"), "component")
+    return state.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("component")).select(F.col("v").alias("vertex"), "component")
+
+
+def rendezvous(seed: str, by: Column | str, weight: Column) -> Column:
+    """-ln(h) / weight with h in (0, 1) from the hash of two columns (or a column and a literal column)."""
+    h = (F.pmod(F.xxhash64(seed, by), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(h) / weight
 
 
 def record_components(samples: DataFrame, scratch: Scratch) -> DataFrame:
@@ -60,55 +74,66 @@ def record_components(samples: DataFrame, scratch: Scratch) -> DataFrame:
     per_record = pairs.where("b IS NOT NULL").groupBy("a").agg(F.count_distinct("b").alias("n"), F.min("b").alias("only"))
     several = per_record.where("n > 1").select("a")
     # Groups joined by records with several groups; all other records follow their one group.
-    links = pairs.join(several, "a", "left_semi").select("a", "b")
+    links = pairs.join(several.hint("merge"), "a", "left_semi").select("a", "b")
     joined = hash_to_min(links, scratch).withColumnRenamed("vertex", "only")
-    home = per_record.join(joined, "only", "left").select("a", F.coalesce("component", "only").alias("component"))
-    return pairs.select("sha", "a").distinct().join(home, "a", "left").select("sha", F.coalesce("component", "a").alias("component"))
+    home = per_record.join(joined.hint("merge"), "only", "left").select("a", F.coalesce("component", "only").alias("component"))
+    return pairs.select("sha", "a").distinct().join(home.hint("merge"), "a", "left").select("sha", F.coalesce("component", "a").alias("component"))
+
+
+def waves(comps: DataFrame) -> DataFrame:
+    """comps (component, family, n) with wave: 0 for the largest of a family, then 1 and by powers of 4 of how many are larger.
+
+    The rank comes from the counts of components by family and size, which are few rows, not from sorting components.
+    """
+    sizes = comps.groupBy("family", "n").agg(F.count("*").alias("c"))
+    w = W.partitionBy("family").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    larger = sizes.withColumn("larger", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    wave = F.when(F.col("larger") < 2, F.col("larger").cast("int")).otherwise(2 + F.floor(F.log2("larger") / 2).cast("int"))
+    return comps.join(larger.select("family", "n", wave.alias("wave")).hint("merge"), ["family", "n"])
 
 
-def assign(samples: DataFrame, targets: DataFrame, scratch: Scratch, heavy: float = HEAVY) -> DataFrame:
+def assign(samples: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     """sha, component, split_name for every record of samples.
 
     Shares hold for records, overall and within each family. A component belongs to the family most of its records
-    have (ties: the least name). Components with more than `heavy` of all records, at most 1 / heavy of them, are placed
-    first, the largest first, where their family is furthest below its target; the family's other components are then
-    hashed with the weights that are still missing. Weights are one row a family and split. Null families are one family.
+    have (ties: the least name). Waves of components, the largest of each family first, are hashed with the weights
+    their family still lacks; a split that lacks less than a component's records has weight 0 for it, and where
+    all do, the component goes where most is lacking. Null families are one family.
     """
     s = scratch.cut(record_components(samples, scratch), "components")
     fam = samples.select(clean("sha").alias("sha"), F.coalesce(clean("family"), F.lit("")).alias("family")).where(F.col("sha").isNotNull()).groupBy("sha").agg(F.max("family").alias("family"))
-    sizes = scratch.cut(s.join(fam, "sha").groupBy("component", "family").agg(F.count("*").alias("n")), "sizes")
+    sizes = s.join(fam.hint("merge"), "sha").groupBy("component", "family").agg(F.count("*").alias("n"))
     comps = sizes.groupBy("component").agg(F.sum("n").alias("n"), F.min_by("family", F.struct(-F.col("n"), "family")).alias("family"))
     comps = scratch.cut(comps, "sized")
     shares = sorted((r[0], float(r[1])) for r in targets.select("split_name", "target_share").dropna().groupBy("split_name").agg(F.sum("target_share")).collect())
     if not shares or sum(w for _, w in shares) <= 0:
         raise ValueError("targets needs splits with positive shares")
     whole = sum(w for _, w in shares)
-    total = comps.agg(F.sum("n")).first()[0] or 0
-    big = comps.where(F.col("n") > max(1.0, heavy * total)).orderBy(F.desc("n"), "component").collect()  # at most 1 / heavy rows
-    per_family = {r[0]: r[1] for r in comps.join(F.broadcast(comps.sparkSession.createDataFrame([(f,) for f in {r["family"] for r in big}] or [("",)], "family string")), "family").groupBy("family").agg(F.sum("n")).collect()}
-    missing = {(f, x): n * w / whole for f, n in per_family.items() for x, w in shares}
-    over = {x: total * w / whole for x, w in shares}
-    placed = []
-    for r in big:
-        x = max((x for x, _ in shares), key=lambda x: (min(missing[r["family"], x], over[x]), x))
-        missing[r["family"], x] -= r["n"]
-        over[x] -= r["n"]
-        placed.append((r["component"], x))
-    spark = comps.sparkSession
-    weights = [(f, x, max(missing[f, x], 1e-9 * n)) for f, n in per_family.items() for x, _ in shares]
-    w = spark.createDataFrame(weights or [("", "", 1.0)], "family string, split_name string, w double")
-    maps = w.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("split_name", "w"))).alias("ws"))
-    fixed = spark.createDataFrame(placed or [(0, None)], "component long, split_name string").where("split_name IS NOT NULL")
-    rest = comps.join(F.broadcast(fixed), "component", "left_anti").join(F.broadcast(maps), "family", "left")
-    score = lambda x, wt: F.struct((-F.log((F.pmod(F.xxhash64("component", F.lit(x)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))) / F.greatest(F.coalesce(F.col("ws")[x], F.lit(wt)), F.lit(1e-300))).alias("d"), F.lit(x).alias("split_name"))
-    hashed = rest.select("component", F.array_min(F.array(*(score(x, wt) for x, wt in shares)))["split_name"].alias("split_name"))
-    return s.join(hashed.unionByName(fixed), "component").select("sha", "component", "split_name")
+    names = [x for x, _ in shares]
+    waved = scratch.cut(waves(comps), "waves")
+    # One row a family and one a wave (at most 34) reach the driver.
+    numbers = sorted(r[0] for r in waved.select("wave").distinct().collect())
+    families = scratch.cut(comps.groupBy("family").agg(F.sum("n").alias("all")), "families")
+    few = families.count() <= FEW
+    placed = None
+    for k in numbers:
+        lacks = families.select("family", *((F.col("all") * F.lit(w / whole)).alias(f"l{i}") for i, (_, w) in enumerate(shares)))
+        if placed is not None:
+            done = placed.groupBy("family").agg(*(F.sum(F.when(F.col("split_name") == x, F.col("n")).otherwise(0)).alias(f"d{i}") for i, x in enumerate(names)))
+            lacks = lacks.join(done.hint("merge"), "family", "left").select("family", *((F.col(f"l{i}") - F.coalesce(f"d{i}", F.lit(0))).alias(f"l{i}") for i in range(len(names))))
+        at = waved.where(F.col("wave") == k).join(F.broadcast(lacks) if few else lacks.hint("merge"), "family")
+        best = lambda i, x: F.struct(F.when(F.col("n") <= F.col(f"l{i}"), rendezvous("component", F.lit(x), F.col(f"l{i}"))).otherwise(F.lit(1e9) - F.col(f"l{i}")).alias("d"), F.lit(x).alias("x"))
+        mine = scratch.cut(at.select("component", "family", "n", F.array_min(F.array(*(best(i, x) for i, x in enumerate(names))))["x"].alias("split_name")), "placed")
+        placed = mine if placed is None else placed.unionByName(mine)
+    if placed is None:
+        return s.select("sha", "component", F.lit(None).cast("string").alias("split_name"))
+    return s.join(placed.select("component", "split_name").hint("merge"), "component").select("sha", "component", "split_name")
 
 
 def shares_report(assigned: DataFrame, samples: DataFrame, targets: DataFrame) -> DataFrame:
     """family, split_name, records, actual_share, target_share; family null is the whole."""
     fam = samples.select(clean("sha").alias("sha"), clean("family").alias("family")).groupBy("sha").agg(F.max("family").alias("family"))
-    n = assigned.join(fam, "sha").select("split_name", F.coalesce("family", F.lit("(none)")).alias("family")).groupBy("family", "split_name").agg(F.count("*").alias("records"))
+    n = assigned.join(fam.hint("merge"), "sha").select("split_name", F.coalesce("family", F.lit("(none)")).alias("family")).groupBy("family", "split_name").agg(F.count("*").alias("records"))
     n = n.unionByName(n.groupBy("split_name").agg(F.sum("records").alias("records")).select(F.lit(None).cast("string").alias("family"), "split_name", "records"))
     t = n.groupBy(F.col("family").alias("f")).agg(F.sum("records").alias("all"))
     return n.join(t, F.col("family").eqNullSafe(F.col("f"))).join(targets, "split_name", "left").select("family", "split_name", "records", F.round(F.col("records") / F.col("all"), 6).alias("actual_share"), "target_share")
@@ -121,23 +146,29 @@ def fold_keys(samples: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     m = manifest.where(F.col("retained") & F.col("fold").between(0, 4)).select(clean("sha").alias("sha"), F.col("fold").cast("int").alias("fold"), clean("disarmed_content_sha256").alias("c")).where(F.col("sha").isNotNull()).distinct()
     g = samples.select(clean("sha").alias("sha"), clean("group_id").alias("g")).where(F.col("g").isNotNull()).distinct()
-    by_group = m.select("sha", "fold").distinct().join(g, "sha").select("sha", "fold", F.concat(F.lit("g"), "g").alias("key"))
+    by_group = m.select("sha", "fold").distinct().join(g.hint("merge"), "sha").select("sha", "fold", F.concat(F.lit("g"), "g").alias("key"))
     return by_group.unionByName(m.where("c IS NOT NULL").select("sha", "fold", F.concat(F.lit("c"), "c").alias("key")))
 
 
 def leaks(samples: DataFrame, manifest: DataFrame, scratch: Scratch) -> DataFrame:
     """sha of manifest records whose group or content lies in two or more folds today.
 
-    Keys (groups and contents) that records connect form components, by Hash-to-Min; only a component with rows in
-    several folds can break the rule, and in it the keys that do are checked one by one.
+    Keys (groups and contents) that records connect form components, by Hash-to-Min. Each component is given one of
+    its folds by rendezvous hashing, weighted by the rows it has there; rows elsewhere are away from the
+    fold they should share. A key with a row away, and another at home or away in a further fold, breaks the rule:
+    a component may be torn between keys that are each whole, so keys are settled one by one at the end.
     """
     rows = scratch.cut(fold_keys(samples, manifest).select("sha", "fold", F.xxhash64("key").alias("k"), "key").distinct(), "keys")
     # A record's keys are linked to its least key; records with one key link nothing.
-    least = F.min("k").over(W.partitionBy("sha"))
-    links = rows.select("k", least.alias("m")).where("k <> m").distinct().select(F.col("k").alias("a"), F.col("m").alias("b"))
+    least = rows.groupBy("sha").agg(F.min("k").alias("m"), F.max("k").alias("o")).where("m <> o").select("sha", "m")
+    links = rows.select("sha", "k").join(least.hint("merge"), "sha").where("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b")).distinct()
     comp = hash_to_min(links, scratch).withColumnRenamed("vertex", "k")
-    at = scratch.cut(rows.join(comp, "k", "left").withColumn("component", F.coalesce("component", "k")), "placed")
-    torn = at.groupBy("component").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi")).where("lo <> hi").select("component")
-    suspects = at.join(torn, "component", "left_semi")
-    bad = suspects.groupBy("key").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi")).where("lo <> hi").select("key")
-    return suspects.join(bad, "key", "left_semi").select("sha").distinct()
+    # One row a key and fold: a key with a third of all rows is five rows from here on.
+    cells = rows.groupBy("k", "key", "fold").agg(F.count("*").alias("n"))
+    at = scratch.cut(cells.join(comp.hint("merge"), "k", "left").withColumn("component", F.coalesce("component", "k")), "placed")
+    present = at.groupBy("component", "fold").agg(F.sum("n").alias("n"))
+    home = present.groupBy("component").agg(F.min_by("fold", F.struct(rendezvous("component", "fold", F.col("n")), "fold")).alias("home"))
+    away = F.col("fold") != F.col("home")
+    judged = at.join(home.hint("merge"), "component").groupBy("key").agg(F.count_if(~away).alias("stay"), F.min(F.when(away, F.col("fold"))).alias("lo"), F.max(F.when(away, F.col("fold"))).alias("hi"))
+    bad = judged.where("lo IS NOT NULL AND (stay > 0 OR lo <> hi)").select("key")
+    return rows.select("sha", "key").join(bad.hint("merge"), "key", "left_semi").select("sha").distinct()
