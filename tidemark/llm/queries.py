@@ -49,6 +49,10 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.grouped(table(spark, d, "validation_tlsh"), Scratch(spark, "p5"))
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.class_pairs(table(spark, d, "validation_tlsh"), Scratch(spark, "p5"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.leaks(table(spark, d, "trainingsample"), table(spark, d, "manifest"), Scratch(spark, "p6"))
 
