@@ -113,6 +113,75 @@ def test_history_empty(spark, scratch):
     assert {x["sha"] for x in history.run_batches(none, batches(spark, twice), scratch).collect()} == {"b"}
 
 
+def stores(spark, scratch, name, per_bucket):
+    return lambda: history.HistoryStore(spark, f"{scratch.path}/{name}", per_bucket)
+
+
+def shas(df):
+    return {x["sha"] for x in df.collect()}
+
+
+def test_history_lasts(spark, scratch):
+    """A store opened again, and merged on the way, gives what one call over all batches gives."""
+    r = random.Random(14)
+    train = family(12, r, 8)
+    old = spark.createDataFrame([row(s, d, f"c{i}") for i, (s, d) in enumerate(train)], INVENTORY)
+    new = [(f"v{s}", d, f"c{r.randrange(90)}", b) for b in (1, 2, 3) for s, d in [(f"{b}{k}", edited(bare(r.choice(train)[1]), r.randrange(0, 14), r)) for k in range(30)]]
+    rows = [(*row(s, d, c, "test", f"2020-0{b}-01T00:00:00Z"), b, None) for s, d, c, b in new]
+    again = [(*row(s.upper(), train[0][1], "c0", "test", "2020-09-01T00:00:00Z"), 4, None) for s, _, _, _ in new[:5]]
+    at = stores(spark, scratch, "lasting", 64)
+    got = shas(history.run_batches(old, batches(spark, rows[:30]), scratch, store=at()))
+    for part in (rows[30:60], rows[60:], again):
+        store = at()
+        assert store.about["entries"] and store.about["batches"]
+        got |= shas(history.run_batches(None, batches(spark, part), scratch, store=store))
+    want = shas(history.run_batches(old, batches(spark, rows + again), scratch))
+    assert got == want and want and not {f"v{x}" for x in ("none",)} & got
+    assert shas(history.run_batches(None, batches(spark, again), scratch, store=at())) == set()
+    # Entries have more than doubled since the first update, so generations were merged into more buckets.
+    end = at()
+    assert len(end.about["generations"]) < 5 and end.about["buckets"] >= 32
+    assert end.entries(history.RECORD).count() == len(train) + len(new)
+
+
+def test_history_reads_what_the_batch_needs(spark, scratch):
+    """The buckets read for a batch of three do not grow with the history; an update that was cut short does not count."""
+    r = random.Random(15)
+    recs = [(f"{i:04d}", random_digest(r)) for i in range(1200)]
+    read = []
+    for n in (150, 1200):
+        store = stores(spark, scratch, f"reads{n}", 64)()
+        history.ingest(store, spark.createDataFrame([row(s, d, f"c{s}") for s, d in recs[:n]], INVENTORY), scratch)
+        rows = [(*row(f"v{k}", edited(recs[k][1], 3, r) if k else random_digest(r), None, "test", "2020-01-01T00:00:00Z"), 1, None) for k in range(3)]
+        assert shas(history.run_batches(None, batches(spark, rows), scratch, store=store)) == {"v1", "v2"}
+        read.append({k: len(v) for k, v in store.read.items()})
+    small, large = store.about["buckets"], read[1]
+    assert small >= 256 and large[history.WORD] <= 36 and large[history.FINGERPRINT] <= 36 and large[history.DIGEST] <= 8 and large[history.FINGERPRINT] <= read[0][history.FINGERPRINT] + 12
+    torn = stores(spark, scratch, "reads1200", 64)()
+    torn._fs.mkdirs(torn._jvm_path(f"{torn.path}/gen=99999-torn/kind=0/bucket=0"))
+    assert len(stores(spark, scratch, "reads1200", 64)().about["generations"]) == 2
+
+
+def test_digests_with_one_hash_stay_apart(spark, scratch, monkeypatch):
+    """With ids that nearly all clash the results are the same: ids only find candidates."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import records
+
+    r = random.Random(16)
+    recs = family(12, r, 9)
+    rows = [row(s, d, f"c{s}", "train" if i % 2 else "test") for i, (s, d) in enumerate(recs)]
+    t, man = spark.createDataFrame(rows, INVENTORY), spark.createDataFrame([(x[0], x[1], None, None, "f", 1) for x in rows], MANIFEST)
+    b = batches(spark, [(*x[:2], f"2020-01-{i % 28 + 1:02d}T00:00:00Z", *x[3:], 1 + i % 2, None) for i, x in enumerate(rows)])
+    runs = lambda: (pairs(overlap.found([t], man, scratch)), pairs(neardup.found(t, scratch)), shas(history.run_batches(t.limit(0), b, scratch)))
+    want = runs()
+    plain = records.fingerprints
+    clash = lambda df, *x: plain(df, *x).withColumn("id", F.col("id") % 3)
+    for m in (overlap, neardup, history):
+        monkeypatch.setattr(m, "fingerprints", clash)
+    assert runs() == want and all(want)
+
+
 def test_near_duplicates(spark, scratch):
     r = random.Random(5)
     recs = family(60, r, 22)
@@ -123,6 +192,12 @@ def test_near_duplicates(spark, scratch):
     want = {(min(a, b), max(a, b)) for a, x in recs for b, y in recs if a < b and distance(bare(x), bare(y)) <= 30}
     assert got == want and want
     per = {x["sha"]: x for x in neardup.grouped(t, scratch).collect()}
+    # Class pairs and members give the pairs back.
+    cls: dict = {}
+    for x in per.values():
+        cls.setdefault(x["class_sha"], []).append(x["sha"])
+    back = {(min(a, b), max(a, b)) for x in neardup.class_pairs(t, scratch).collect() for a in cls[x["class_a"]] for b in cls[x["class_b"]]}
+    assert back | {(a, b) for m in cls.values() for a in m for b in m if a < b} == want
     assert set(per) == {s for s, _ in recs} and per["same2"]["class_sha"] == recs[0][0]
     assert neardup.found(spark.createDataFrame([], INVENTORY), scratch).count() == 0
 
@@ -140,3 +215,34 @@ def test_sketch_estimates_similarity_and_fills():
     assert (s >= 0).all() and (t >= 0).all()
     share = (s == t).mean(1)
     assert abs(share.mean() - 98 / 158) < 0.01 and share.std() < 1.3 * np.sqrt(0.62 * 0.38 / 400)
+
+
+def test_sketch_equals_its_definition():
+    """Round by round as the method says, and in passes as one."""
+    size = 60
+    lists = neardup.bin_lists(size)
+    rng = np.random.default_rng(2)
+    present = np.zeros((6, 512), bool)
+    np.put_along_axis(present, rng.integers(0, 4, (6, 128)) + 4 * np.arange(128), True, axis=1)
+    present[5] = False
+    present[5, 17] = True  # a set of one token fills the bins it never reaches in their own round
+    t = np.arange(512, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row, got in zip(present, neardup.sketch(present, lists)):
+        best: list = [None] * size
+        for r in range(2 * size):
+            h = neardup.mix(t + np.uint64((neardup.SEED << 32) + r + 1))
+            for k in np.flatnonzero(row):
+                b = int(h[k] % np.uint64(size)) if r < size else r - size
+                v = (r, int(h[k] >> np.uint64(20)), int(k))
+                best[b] = v if best[b] is None else min(best[b], v)
+        assert [r * 512 + k for r, _, k in best] == list(got)
+    part = neardup.bin_lists(size, 20, 40)
+    assert (neardup.sketch(present, part) == neardup.sketch(present, lists)[:, 20:40]).all()
+
+
+def test_layout_keeps_the_miss_bound():
+    longest = 0
+    for n in (0, 10, 10**4, 10**6, 10**8, 10**10):
+        bands, rows = neardup.layout(n, 0.1)
+        assert (1 - neardup.ALIKE**rows) ** bands <= neardup.MISS and rows >= longest
+        longest = rows

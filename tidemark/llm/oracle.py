@@ -13,6 +13,15 @@ ev AS (SELECT DISTINCT al.* FROM al JOIN m ON al.sha = m.sha WHERE m.split IN ('
 p AS (SELECT ev.sha AS a, tr.sha AS b FROM ev JOIN tr ON ev.content = tr.content UNION SELECT x.sha, y.sha FROM x JOIN y ON least(abs(x.lv - y.lv), 256 - abs(x.lv - y.lv)) <= 1 WHERE {distance_sql('x', 'y')} <= 20)
 SELECT DISTINCT least(a, b) AS sha_a, greatest(a, b) AS sha_b FROM p WHERE a <> b"""
 
+#: The bits of equal values of two rows of packed().
+_EQUAL = "128 - (" + " + ".join(f"bit_count((xor(x.w{k}, y.w{k}) | (xor(x.w{k}, y.w{k}) >> 1)) & 6148914691236517205::UBIGINT)" for k in range(4)) + ")"
+P1_REPORT = P1[: P1.index("p AS (SELECT")] + f"""p AS (SELECT ev.sha AS a, tr.sha AS b, true AS exact, NULL AS d, NULL AS q FROM ev JOIN tr ON ev.content = tr.content
+UNION ALL SELECT x.sha, y.sha, false, {distance_sql('x', 'y')}, {_EQUAL} FROM x JOIN y ON least(abs(x.lv - y.lv), 256 - abs(x.lv - y.lv)) <= 1 WHERE {distance_sql('x', 'y')} <= 20),
+pr AS (SELECT a, b, bool_or(exact) AS exact, min(d) AS d, max(q) / 128.0 AS q FROM p WHERE a <> b GROUP BY a, b),
+pe AS (SELECT a, count(*) AS pairs, count(*) FILTER (exact) AS exact_pairs, min(d) AS d, max(q) AS q FROM pr GROUP BY a),
+ls AS (SELECT DISTINCT sha, split, source FROM m WHERE split IN ('validation', 'test'))
+SELECT split, source, count(*) AS records, sum(pairs)::BIGINT AS pairs, sum(exact_pairs)::BIGINT AS exact_pairs, min(d)::INTEGER AS least_distance, round(avg(q), 6) AS mean_coverage FROM ls JOIN pe ON ls.sha = pe.a GROUP BY 1, 2"""
+
 TERMS = f"""WITH {SAMPLES}, k AS (SELECT family FROM s WHERE family IS NOT NULL UNION SELECT {c('family')} FROM class_support WHERE family IS NOT NULL),
 n AS (SELECT k.family, count(s.family) AS occurrences, count(DISTINCT s.sha) AS records FROM k LEFT JOIN s ON k.family = s.family GROUP BY 1),
 q AS (SELECT *, CASE WHEN records < 5 THEN 'rare' WHEN records >= 0.1 * (SELECT count(DISTINCT sha) FROM s) THEN 'common' END AS mark FROM n) """
@@ -30,8 +39,15 @@ UNION SELECT b.sha FROM n a JOIN n b ON a.content = b.content AND a.pos < b.pos
 UNION SELECT x.sha FROM x JOIN y ON least(abs(x.lv - y.lv), 256 - abs(x.lv - y.lv)) <= 1 WHERE {distance_sql('x', 'y')} <= 10
 UNION SELECT b.sha FROM x a JOIN x b ON a.pos < b.pos WHERE {distance_sql('a', 'b')} <= 10"""
 
+P4_CASES = P4[: P4.index("SELECT sha FROM n WHERE content IN")] + ", cs AS (" + P4[P4.index("SELECT sha FROM n WHERE content IN") :] + ") SELECT coalesce(n.batch_no, 2147483647) AS batch_no, n.sha FROM n JOIN cs ON n.sha = cs.sha"
+
 P5 = f"WITH {VALIDATION}, {packed('x', 'v', 'sha')} SELECT a.sha AS sha_a, b.sha AS sha_b FROM x a JOIN x b ON a.sha < b.sha WHERE {distance_sql('a', 'b')} <= 30"
 
+#: Distinct digests with the least sha of each.
+REPS = f"{VALIDATION}, rp AS (SELECT digest, min(sha) AS sha FROM v WHERE digest IS NOT NULL GROUP BY digest), {packed('x', 'rp', 'sha, digest')}"
+P5_PAIRS = f"WITH {REPS} SELECT a.sha AS class_a, b.sha AS class_b, {distance_sql('a', 'b')} AS distance FROM x a JOIN x b ON a.sha < b.sha AND a.digest <> b.digest WHERE {distance_sql('a', 'b')} <= 30"
+P5_CLASSES = f"WITH {REPS}, pr AS (SELECT a.digest AS d FROM x a JOIN x b ON a.digest <> b.digest WHERE {distance_sql('a', 'b')} <= 30), n AS (SELECT d, count(*) AS links FROM pr GROUP BY d) SELECT DISTINCT v.sha, rp.sha AS class_sha, coalesce(n.links, 0) AS links FROM v JOIN rp ON v.digest = rp.digest LEFT JOIN n ON n.d = v.digest"
+
 P6 = f"""WITH {SAMPLES}, f AS (SELECT {c('sha')} AS sha, fold, {c('disarmed_content_sha256')} AS content FROM manifest WHERE retained AND fold BETWEEN 0 AND 4),
 g AS (SELECT DISTINCT f.sha, f.fold, s.group_id FROM f JOIN s ON f.sha = s.sha WHERE s.group_id IS NOT NULL)
 SELECT sha FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY group_id HAVING count(DISTINCT fold) > 1)
@@ -47,11 +63,15 @@ P10 = f"WITH x AS (SELECT doc_id, text, {_form('text')} AS form FROM documents W
 
 SQL = {
     "p1_found": P1,
+    "p1_report": P1_REPORT,
     "p2_found": TERMS + "SELECT family, mark FROM q WHERE mark IS NOT NULL",
     "p2_terms": TERMS + "SELECT * FROM q",
     "p3_found": P3,
     "p4_found": P4,
+    "p4_cases": P4_CASES,
     "p5_found": P5,
+    "p5_pairs": P5_PAIRS,
+    "p5_classes": P5_CLASSES,
     "p6_found": P6,
     "p10_found": P10,
     "p10_forms": f"SELECT doc_id, {_form('text')} AS form FROM documents",
