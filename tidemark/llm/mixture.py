@@ -9,7 +9,7 @@ training. Documents are range-sorted by position.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,7 +18,9 @@ from tidemark.session import Scratch
 
 PHASES = 8
 TILT = 0.5
-BUCKETS = 4096
+#: Documents that a hash bucket is laid out for.
+PER_BUCKET = 50_000
+LEVELS, STEP = 3, 64
 
 
 def sizes(docs: DataFrame, scratch: Scratch, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
@@ -59,39 +61,56 @@ def plan(sized: DataFrame, targets: DataFrame, schedule: dict[str, list[float]]
     return out
 
 
-def last_pass(at: DataFrame, scratch: Scratch, rounds: int = 4) -> tuple[DataFrame, Column]:
-    """Which documents the last, partial pass of their source takes, so that it ends close to its demand.
+def running(d: DataFrame, by: list[str]) -> DataFrame:
+    """d with ends: the running token count of its documents in hash order within `by`.
 
-    Documents are taken in order while they end within the demand. The first that does not is passed over and the later
-    ones move up, a few times, so that one long document cannot leave a gap; then the one that is cut by the demand is
-    taken if its middle lies within. Each round finds one document a source.
+    A prefix sum over hash buckets plus one within the bucket, so a source that holds most documents is spread like
+    any other. The join and the window are by the same columns: documents are shuffled once.
     """
-    at = scratch.cut(at, "order")
-    skipped: dict = {}
-    shift, passed = F.lit(0), F.lit(False)
-    for k in range(rounds + 1):
-        ends = F.col("ends") - shift
-        cut = at.where((F.col("rest") > 0) & ~passed & (ends > F.col("rest"))).groupBy("source").agg(F.min(F.struct("ends", "h", "doc_id", "tokens")).alias("c")).select("source", "c.*").collect()  # one row a source
-        if k == rounds or not cut:
-            break
-        for r in cut:
-            skipped.setdefault(r["source"], []).append((r["ends"], r["doc_id"], r["tokens"]))
-        shift, passed = F.lit(0), F.lit(False)
-        for s, docs in skipped.items():
-            for e, i, t in docs:
-                here = F.col("source") == s
-                shift = shift + F.when(here & (F.col("ends") > e), t).otherwise(0)
-                passed = passed | (here & (F.col("doc_id") == i))
-    return at, (F.col("rest") > 0) & ~passed & (F.col("ends") - shift - F.col("tokens") / 2 <= F.col("rest"))
+    sums = d.groupBy(*by, "bucket").agg(F.sum("tokens").alias("_n"))
+    starts = sums.select(*by, "bucket", (F.sum("_n").over(W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
+    within = W.partitionBy(*by, "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    return d.join(starts.hint("merge"), [*by, "bucket"]).withColumn("ends", F.col("_start") + F.sum("tokens").over(within)).drop("_start")
+
+
+def last_pass(d: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents that the last, partial pass of their source takes: those of d whose tokens fill `rest`.
+
+    Documents fall into LEVELS by size against the rest: over a STEP-th of it, over a STEP-th of that, and shorter. Each
+    level gives its share of the rest in hash order, long ones first, by an exact rule on prefix sums: the documents that
+    end within the level's limit. What a level leaves open, less than the document that was cut, is added to the
+    next one's limit. In a source's last level a document is taken if its middle lies within, so a source misses its
+    demand by half of one of its shortest documents at most, or by what it has no shorter documents for.
+    """
+    level = F.least(F.lit(LEVELS - 1), F.floor(F.log(float(STEP), F.greatest(F.col("rest") / F.col("tokens"), F.lit(1.0))))).cast("int")
+    at = scratch.cut(running(d.where("rest > 0").withColumn("level", level), ["source", "level"]), "order")
+    # One row a source and level, as below: sources are few (see plan).
+    have: dict = {}
+    for s, k, n, rest in at.groupBy("source", "level").agg(F.sum("tokens"), F.max("rest")).collect():
+        have.setdefault(s, {})[k] = (n, rest)
+    spark, schema = d.sparkSession, "source string, level int, limit double, middle boolean"
+    limits, carry = [], dict.fromkeys(have, 0.0)
+    for k in range(LEVELS):
+        mine = []
+        for s, levels in have.items():
+            if k in levels:
+                n, rest = levels[k]
+                carry[s] += rest * n / sum(x for x, _ in levels.values())
+                mine.append((s, k, carry[s], k == max(levels)))
+        limits += mine
+        if k < LEVELS - 1 and mine:
+            cut = at.join(F.broadcast(spark.createDataFrame(mine, schema)), ["source", "level"]).where("ends <= limit").groupBy("source").agg(F.max("ends")).collect()
+            for s, ends in cut:
+                carry[s] -= ends
+    taken = at.join(F.broadcast(spark.createDataFrame(limits or [("", -1, 0.0, False)], schema)), ["source", "level"])
+    return taken.where("CASE WHEN middle THEN ends - tokens / 2 ELSE ends END <= limit").select(d.columns)
 
 
 def mixture(sized: DataFrame, sources: list[dict], scratch: Scratch) -> DataFrame:
     """doc_id, source, copy, tokens, position in [0, 1): one row a use of a document, sorted by position.
 
-    Documents of a source stand in hash order. Their running token count is a prefix sum over hash buckets plus one within
-    the bucket, so a source that holds most documents is spread like any other. Whole passes take every document; the
-    last pass takes documents up to the demand (last_pass). Documents without tokens and
-    sources without a target are not used.
+    Documents of a source stand in hash order. Whole passes take every document; the last pass takes documents up to
+    the demand (last_pass). Documents without tokens and sources without a target are not used.
     """
     spark = sized.sparkSession
     used = [x for x in sources if x["demand"] > 0]
@@ -101,14 +120,12 @@ def mixture(sized: DataFrame, sources: list[dict], scratch: Scratch) -> DataFram
         passes = int(x["demand"] / x["available"] + 1e-9)
         rows.append((x["source"], float(x["available"]), x["demand"], passes, max(0.0, x["demand"] - passes * x["available"]), x["integral"]))
     per = F.broadcast(spark.createDataFrame(rows, schema))  # one row a source
-    d = sized.where("tokens > 0").withColumn("h", F.xxhash64("doc_id", "source")).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)).cast("int"))
-    sums = d.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
-    starts = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("start"))
-    within = W.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    at = d.join(starts, ["source", "bucket"]).join(per, "source").withColumn("ends", F.col("start") + F.sum("tokens").over(within)).withColumn("mid", F.col("ends") - F.col("tokens") / 2)
-    at, last = last_pass(at, scratch)
-    copies = F.explode(F.sequence(F.lit(1), F.col("passes") + F.when(last, 1).otherwise(0)))
-    at = at.where((F.col("passes") > 0) | last).select("doc_id", "source", "tokens", "available", "demand", "integral", "mid", copies.alias("copy"))
+    buckets = 1 << max(6, (max((x["docs"] for x in used), default=0) // PER_BUCKET).bit_length())
+    d = sized.where("tokens > 0").withColumn("h", F.xxhash64("doc_id", "source")).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)).cast("int")).join(per, "source")
+    keep = ["doc_id", "source", "tokens", "available", "demand", "integral"]
+    full = running(d.where("passes > 0"), ["source"]).select(*keep, "ends", F.explode(F.sequence(F.lit(1), "passes")).alias("copy"))
+    last = running(last_pass(d, scratch), ["source"]).select(*keep, "ends", (F.col("passes") + 1).alias("copy"))
+    at = full.unionByName(last).withColumn("mid", F.col("ends") - F.col("tokens") / 2)
     x = F.least((F.col("mid") + (F.col("copy") - 1) * F.col("available")) / F.col("demand"), F.lit(1.0 - 1e-12))
     at = at.withColumn("x", x).withColumn("k", F.expr("size(filter(integral, w -> w <= x)) - 1"))
     position = F.expr(f"least((k + (x - integral[k]) / (integral[k + 1] - integral[k])) / (size(integral) - 1), {1.0 - 1e-12})")
