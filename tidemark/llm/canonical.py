@@ -1,8 +1,10 @@
 """Problem 10: one form for text that looks the same.
 
-DuckDB runs inside each Arrow partition: invisible characters are removed by a regular expression, full-width forms,
-blanks and look-alike letters are translated, and accents are composed by nfc_normalize, in one SQL
-expression. Letter case, accents, digits, punctuation, tabs and line breaks stay as they are.
+DuckDB runs inside each Arrow partition: invisible characters are removed by a regular expression, accents are
+composed by nfc_normalize, full-width forms, blanks and look-alike letters are translated, and accents are composed
+again over the letters that this gave, in one SQL expression. What is mapped: full-width forms, the space separators of
+Unicode, and the Cyrillic and Greek letters below with whatever accents. Ligatures, mathematical letters, half-width
+kana and look-alikes of other scripts stay as they are. Letter case, accents, digits, punctuation, tabs and line breaks stay as they are.
 """
 
 from __future__ import annotations
@@ -41,11 +43,31 @@ def translations() -> tuple[str, str]:
     return "".join(out), "".join(out.values())
 
 
+def accented() -> dict[str, str]:
+    """Composed Cyrillic and Greek letters that look like a Latin one with accents of which Unicode has no composed form."""
+    like, out = CYRILLIC | GREEK, {}
+    for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        d = unicodedata.normalize("NFD", chr(c))
+        if len(d) > 1 and d[0] in like and len(n := unicodedata.normalize("NFC", like[d[0]] + d[1:])) > 1:
+            out[chr(c)] = n
+    return out
+
+
+def expression(text: str) -> str:
+    """The SQL of the form of a text. Rare letters that become several are replaced one by one, in texts that have any."""
+    a, b = (x.replace("'", "''") for x in translations())
+    each = x = f"translate(nfc_normalize(regexp_replace({text}, '{INVISIBLE}', '', 'g')), '{a}', '{b}')"
+    for c, to in accented().items():
+        each = f"replace({each}, '{c}', '{to}')"
+    # Composed in the stored text, or by nfc_normalize from a letter and a mark.
+    some = f"[{''.join(accented())}]|[{''.join(CYRILLIC)}{''.join(GREEK)}][^\\x{{0}}-\\x{{2FF}}\\x{{370}}-\\x{{FFFFF}}]"
+    return f"nfc_normalize(CASE WHEN regexp_matches(regexp_replace({text}, '{INVISIBLE}', '', 'g'), '{some}') THEN {each} ELSE {x} END)"
+
+
 def forms(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, form and the columns to keep: the consistent form of each text; null stays null, empty stays empty. Applying it twice changes nothing."""
-    a, b = translations()
     names = [key, *keep]
-    sql = f"SELECT {', '.join(f'k{i}' for i in range(len(names)))}, nfc_normalize(translate(regexp_replace(t, '{INVISIBLE}', '', 'g'), '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')) AS form FROM part"
+    sql = f"SELECT {', '.join(f'k{i}' for i in range(len(names)))}, {expression('t')} AS form FROM part"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb

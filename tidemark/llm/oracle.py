@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.llm.canonical import INVISIBLE, translations
 from tidemark.plans.registry import clean as c
 from tidemark.plans.registry import instant
 from tidemark.plans.tables import MANIFEST, SAMPLES, TRAIN, VALIDATION, distance_sql, packed
@@ -54,12 +53,17 @@ SELECT sha FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY group_id HA
 UNION SELECT sha FROM f WHERE content IN (SELECT content FROM f WHERE content IS NOT NULL GROUP BY content HAVING count(DISTINCT fold) > 1)"""
 
 
-def _form(text: str) -> str:
-    a, b = (x.replace("'", "''") for x in translations())
-    return f"nfc_normalize(translate(regexp_replace({text}, '{INVISIBLE}', '', 'g'), '{a}', '{b}'))"
+#: The rule in SQL's own terms: format characters and other characters that show nothing go, space separators are blanks,
+#: full-width forms lie 65248 above their ordinary ones, look-alikes are listed (fixed values), with the accents that
+#: nfc_normalize can put on both.
+LOOKS = r"""ch AS (SELECT unnest(string_split('а с ԁ е һ і ј о р ԛ ѕ ѵ ԝ х у А В С Е Н І Ј К М О Р Ԛ Ѕ Т Ѵ Ԝ Х У ν ο Α Β Ε Ζ Η Ι Κ Μ Ν Ο Ρ Τ Υ Χ', ' ')) AS c, unnest(string_split('a c d e h i j o p q s v w x y A B C E H I J K M O P Q S T V W X Y v o A B E Z H I K M N O P T Y X', ' ')) AS l),
+mk AS (SELECT chr(m::INTEGER) AS m FROM range(768, 880) t(m)),
+tr AS (SELECT c, l FROM ch UNION ALL SELECT nfc_normalize(c || m), nfc_normalize(l || m) FROM ch, mk WHERE length(nfc_normalize(c || m)) = 1 AND length(nfc_normalize(l || m)) = 1
+UNION ALL SELECT chr(x::INTEGER), chr((x - 65248)::INTEGER) FROM range(65281, 65375) t(x) UNION ALL SELECT unnest(['￠', '￡', '￢', '￣', '￤', '￥', '￦', '｟', '｠']), unnest(['¢', '£', '¬', '¯', '¦', '¥', '₩', '⦅', '⦆'])),
+tl AS (SELECT string_agg(c, '' ORDER BY c) AS a, string_agg(l, '' ORDER BY c) AS b FROM (SELECT c, min(l) AS l FROM tr GROUP BY c)),
+fm AS (SELECT doc_id, text, nfc_normalize(translate(nfc_normalize(regexp_replace(regexp_replace(text, '[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]', '', 'g'), '\p{Zs}', ' ', 'g')), tl.a, tl.b)) AS form FROM documents, tl)"""
 
-
-P10 = f"WITH x AS (SELECT doc_id, text, {_form('text')} AS form FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM x a JOIN x b ON a.form = b.form AND a.doc_id < b.doc_id WHERE a.text <> b.text AND trim(a.form, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"
+P10 = f"WITH {LOOKS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM fm a JOIN fm b ON a.form = b.form AND a.doc_id < b.doc_id WHERE a.text <> b.text AND trim(a.form, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"
 
 SQL = {
     "p1_found": P1,
@@ -74,5 +78,5 @@ SQL = {
     "p5_classes": P5_CLASSES,
     "p6_found": P6,
     "p10_found": P10,
-    "p10_forms": f"SELECT doc_id, {_form('text')} AS form FROM documents",
+    "p10_forms": f"WITH {LOOKS} SELECT doc_id, form FROM fm",
 }
