@@ -31,19 +31,19 @@ from tidemark.session import Scratch, remove
 BITS = 4
 WITHIN = 10
 PER_BUCKET = 1 << 19
-#: Rows of a batch, of up to 60 bytes, that may be broadcast to the buckets they are looked up in.
-FEW = 50_000
+#: Keys of a batch, of up to 40 bytes, that may be broadcast to the buckets they are looked up in: about 25 MB as a table.
+FEW = 1 << 18
 
 FINGERPRINT, DIGEST, CONTENT, RECORD, WORD = range(5)
 SCREENED = (FINGERPRINT, CONTENT, RECORD)
-COLUMNS = "key long, id long, text string, head int, h0 long, h1 long, l0 long, l1 long"
+COLUMNS = "key long, id long, head int, h0 long, h1 long, l0 long, l1 long"
 
 
 class HistoryStore:
     """Fingerprints, digests, contents, record names and Bloom words of all accepted records, in a folder.
 
-    An entry is (kind, key, id, text, digest): a fingerprint's key is itself, a digest's its id, a content's or record's a
-    hash of its text (the text is compared too), and a Bloom word's its number, with the bits set in h0. Files lie in
+    An entry is (kind, key, id, digest): a fingerprint's key is itself, a digest's its id, a content's or record's the first
+    half of a 128-bit hash (see names) with the second as id, and a Bloom word's its number, with the bits set in h0. Files lie in
     gen=G/kind=K/bucket=B. path: a folder of its own in the shared file system; what an earlier session left there
     is opened. One writer at a time. per_bucket: keys a bucket is made for; about 12 bits of filter belong to each.
     """
@@ -109,15 +109,15 @@ class HistoryStore:
         return self.spark.read.schema(COLUMNS).option("basePath", self.path).parquet(*paths).select(*names)
 
     def update(self, records: DataFrame, digests: DataFrame, fps: DataFrame, expected: int = 0) -> None:
-        """Accept records (sha, content), distinct digests (CLASS) and their fingerprints (fp, id).
+        """Accept records (s1, s2, c1, c2 of names), distinct digests (CLASS) and their fingerprints (fp, id).
 
         expected: keys to come with the first update, for which buckets are laid out.
         """
         if not self.about["buckets"]:
             self.about["buckets"] = 1 << max(0, -(-expected // self.about["per_bucket"]) - 1).bit_length()
-        named = lambda c, kind: rows(records.where(F.col(c).isNotNull()).select(c).distinct(), kind, F.xxhash64(c), text=F.col(c))
+        named = lambda c, kind: rows(records.where(F.col(f"{c}1").isNotNull()).select(f"{c}1", f"{c}2").distinct(), kind, F.col(f"{c}1"), id=F.col(f"{c}2"))
         out = rows(fps, FINGERPRINT, F.col("fp"), id=F.col("id")).unionByName(rows(digests, DIGEST, F.col("id"), **{p: F.col(p) for p in PARTS}))
-        self._write(out.unionByName(named("content", CONTENT)).unionByName(named("sha", RECORD)), self.about["generations"])
+        self._write(out.unionByName(named("c", CONTENT)).unionByName(named("s", RECORD)), self.about["generations"])
         if self.about["entries"] > 2 * self.about["merged"] and len(self.about["generations"]) > 1:
             self.merge()
 
@@ -126,8 +126,8 @@ class HistoryStore:
         seen = Observation()
         every = out.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("bucket", self.bucket(F.col("key"))).unionByName(rows(words, WORD, F.col("word"), h0=F.col("set")).withColumn("bucket", F.floor(F.col("key") / F.lit(self.about["words"])).cast("int")))
         name = f"gen={len(after):05d}-{uuid.uuid4().hex[:8]}"
-        # One file a kind and bucket.
-        every.repartition("bucket").sortWithinPartitions("kind", "bucket", "key").write.partitionBy("kind", "bucket").parquet(f"{self.path}/{name}")
+        # One file a kind and bucket. Hashes repeat too little for dictionaries.
+        every.repartition("bucket").write.option("parquet.enable.dictionary", "false").partitionBy("kind", "bucket").parquet(f"{self.path}/{name}")
         entries = _taken(seen, out, F.count(F.lit(1)).alias("n"))["n"] + (self.about["entries"] if after else 0)
         self._describe(generations=[*after, name], entries=entries, merged=self.about["merged"] if after else entries)
 
@@ -168,6 +168,15 @@ def rows(df: DataFrame, kind: int, key: Column, **have: Column) -> DataFrame:
     return df.select(F.lit(kind).alias("kind"), key.alias("key"), *(have.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()))
 
 
+def names(df: DataFrame) -> DataFrame:
+    """df with 128-bit hashes, as two longs, of sha (s1, s2) and content (c1, c2; null where it is null).
+
+    That two of 10^10 names agree in 128 bits by chance has a probability of about 10^-19.
+    """
+    half = lambda c, *seed: F.when(F.col(c).isNotNull(), F.xxhash64(c, *seed))
+    return df.select("*", *(half(c, *seed).alias(f"{k}{i}") for k, c in (("s", "sha"), ("c", "content")) for i, seed in ((1, ()), (2, (F.lit(11),)))))
+
+
 def _small(df: DataFrame, n: int) -> DataFrame:
     """df of n rows for a join: broadcast if they are few, else built into hash tables where they are shuffled to."""
     return F.broadcast(df) if n <= FEW else df.hint("shuffle_hash")
@@ -250,36 +259,37 @@ def _taken(seen: Observation, df: DataFrame, *cols: Column) -> dict:
 
 def against_store(batch: DataFrame, classes: DataFrame, fps: DataFrame, n: int, store: HistoryStore, scratch: Scratch, within: int = WITHIN) -> DataFrame:
     """What of a batch of about n records repeats the store: rows of CLASS (a digest that is close to one of the
-    store's) or content (one the store has).
+    store's) or c1, c2 (a content the store has).
 
     Of records of one digest (or one content) in a batch only the first can be new; so classes are compared, and a
     digest that a third of the batch shares is one class.
     """
     if within > WITHIN:
         raise ValueError(f"the windows find all records up to distance {WITHIN}")
-    asked = fps.where("own").select(F.lit(FINGERPRINT).alias("kind"), F.col("fp").alias("key"), "id", F.lit(None).cast("string").alias("content"))
-    contents = batch.where("content IS NOT NULL").select("content").distinct()
-    probes = asked.unionByName(contents.select(F.lit(CONTENT).alias("kind"), F.xxhash64("content").alias("key"), F.lit(None).cast("long").alias("id"), "content"))
-    hits, got = _counted(scratch, store.screen(probes, 12 * n), "hits", fps=F.col("kind") == FINGERPRINT, contents=F.col("kind") == CONTENT)
+    asked = fps.where("own").select(F.lit(FINGERPRINT).alias("kind"), F.col("fp").alias("key"), "id")
+    contents = batch.where("c1 IS NOT NULL").select("c1", "c2").distinct()
+    probes = asked.unionByName(contents.select(F.lit(CONTENT).alias("kind"), F.col("c1").alias("key"), F.col("c2").alias("id")))
+    hits, got = _counted(scratch, store.screen(probes, 12 * n).distinct(), "hits", fps=F.col("kind") == FINGERPRINT, contents=F.col("kind") == CONTENT)
     past = store.lookup(hits.where(F.col("kind") == FINGERPRINT), FINGERPRINT, got["fps"]).select(F.col("e_id").alias("ref"), "id").distinct()
     past, pairs = _counted(scratch, past, "candidates", n=F.lit(True))
     old = store.lookup(past, DIGEST, pairs["n"], "ref").select("id", *(F.col(f"e_{p}").alias(f"r_{p}") for p in PARTS))
-    close = old.join(classes.hint("merge"), "id").where(_near() <= within).select(*CLASS).distinct().withColumn("content", F.lit(None).cast("string"))
-    same = store.lookup(hits.where(F.col("kind") == CONTENT), CONTENT, got["contents"]).where("content = e_text").select("content").distinct()
-    return scratch.cut(close.unionByName(same, allowMissingColumns=True), "repeats")
+    close = old.join(classes.hint("merge"), "id").where(_near() <= within).select(*CLASS).distinct()
+    same = store.lookup(hits.where(F.col("kind") == CONTENT), CONTENT, got["contents"]).where("id = e_id").select(F.col("key").alias("c1"), F.col("id").alias("c2")).distinct()
+    none = lambda c: F.lit(None).cast(dict(x.split() for x in COLUMNS.split(", ")).get(c, "long")).alias(c)
+    return scratch.cut(close.select(*CLASS, none("c1"), none("c2")).unionByName(same.select(*(none(c) for c in CLASS), "c1", "c2")), "repeats")
 
 
 def arrived(store: HistoryStore, records: DataFrame, scratch: Scratch) -> DataFrame:
     """records without those whose sha the store has from an earlier call."""
-    probes = records.select(F.lit(RECORD).alias("kind"), F.xxhash64("sha").alias("key"), "sha")
+    probes = records.select(F.lit(RECORD).alias("kind"), F.col("s1").alias("key"), F.col("s2").alias("id"))
     hits, got = _counted(scratch, store.screen(probes, records.count()), "seen", n=F.lit(True))
-    seen = store.lookup(hits, RECORD, got["n"]).where("sha = e_text").select("sha").distinct()
-    return records.join(seen.hint("merge"), "sha", "left_anti")
+    seen = store.lookup(hits, RECORD, got["n"]).where("id = e_id").select(F.col("key").alias("s1"), F.col("id").alias("s2")).distinct()
+    return records.join(seen.hint("merge"), ["s1", "s2"], "left_anti")
 
 
 def ingest(store: HistoryStore, history: DataFrame, scratch: Scratch) -> None:
     """Accept a table of fingerprints as history, unchecked."""
-    past = scratch.cut(fingerprints(history), "history")
+    past = scratch.cut(names(fingerprints(history)).select("s1", "s2", "c1", "c2", *CLASS), "history")
     digests = scratch.cut(past.where("id IS NOT NULL").select(*CLASS).distinct(), "digests")
     # Up to 13 fingerprints a digest with the neighbouring bands, and a digest, content and name.
     store.update(past, digests, with_fingerprints(digests, ["id"]), past.count() * 3 + digests.count() * 13)
@@ -298,7 +308,7 @@ def run_batches(history: DataFrame | None, batches: DataFrame, scratch: Scratch,
     earlier = store.about["batches"] > 0
     if history is not None:
         ingest(store, history, scratch)
-    records = first_deliveries(batches)
+    records = names(first_deliveries(batches))
     if earlier:
         records = arrived(store, scratch.cut(records, "deliveries"), scratch)
     arrivals = scratch.cut(with_copies(records), "arrivals", "batch_no")
@@ -316,6 +326,6 @@ def run_batches(history: DataFrame | None, batches: DataFrame, scratch: Scratch,
     if repeats is None:
         return scratch.spark.createDataFrame([], "batch_no int, sha string")
     close = repeats.where("id IS NOT NULL").select("batch_no", *CLASS).unionByName(close_within(classes, fps, within))
-    same = repeats.where("content IS NOT NULL").select("batch_no", "content")
-    cases = arrivals.join(close.hint("merge"), ["batch_no", *CLASS], "left_semi").unionByName(arrivals.join(same.hint("merge"), ["batch_no", "content"], "left_semi").select(arrivals.columns))
+    same = repeats.where("c1 IS NOT NULL").select("batch_no", "c1", "c2")
+    cases = arrivals.join(close.hint("merge"), ["batch_no", *CLASS], "left_semi").unionByName(arrivals.join(same.hint("merge"), ["batch_no", "c1", "c2"], "left_semi").select(arrivals.columns))
     return cases.unionByName(arrivals.where("copy")).select("batch_no", "sha").distinct()
