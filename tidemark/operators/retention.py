@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.digest import PARTS, distance, length_value, pack, usable
+from tidemark.functions import windows
+from tidemark.functions.digest import PARTS, distance, pack, usable
 from tidemark.functions.keys import clean, instant
 from tidemark.operators.ranking import global_rank
 from tidemark.session import Scratch
 
-#: The 128 values fall into as many blocks; with up to `BLOCKS - 1` unequal values a block is equal.
-BLOCKS = 21
+#: The distance up to which windows find every pair.
+WITHIN = 20
 
 
 def inventory(df: DataFrame) -> DataFrame:
@@ -26,32 +27,24 @@ def inventory(df: DataFrame) -> DataFrame:
     return one.select("*", *pack(F.col("digest")))
 
 
-def block_keys(df: DataFrame, keep: list[str], head_reach: int, neighbours: bool) -> DataFrame:
-    """keep, key: one row a block of 6 values (the last has 8), with the length value it may meet."""
-    from tidemark.functions.digest import LOWER, UPPER, bits
+def near_edges(rows: DataFrame, scratch: Scratch, within: int = WITHIN) -> DataFrame:
+    """digest_a < digest_b, distance: distinct digests within the distance (at most 20). Digests as from pack, in column digest.
 
-    sizes = [6] * (BLOCKS - 1) + [8]
-    starts = [6 * i for i in range(BLOCKS)]
-    blocks = F.array(*(F.shiftleft(bits(UPPER, s, n), 8).bitwiseOR(bits(LOWER, s, n)).bitwiseOR(F.lit(i << 16)) for i, (s, n) in enumerate(zip(starts, sizes))))
-    v = length_value(F.col("head"))
-    lengths = F.array(*((v + d).bitwiseAND(F.lit(255)) for d in (range(-head_reach, head_reach + 1) if neighbours else (0,))))
-    return df.select(*keep, F.explode(blocks).alias("_block"), lengths.alias("_ls")).select(*keep, "_block", F.explode("_ls").alias("_l")).select(*keep, F.shiftleft("_l", 21).bitwiseOR(F.col("_block")).alias("key"))
-
-
-def near_edges(rows: DataFrame, scratch: Scratch, within: int = 20) -> DataFrame:
-    """id_a < id_b, distance: distinct digests within the distance (at most 20). Digests as from pack, in column digest.
-
-    Within 20 at most 20 of the 128 values differ, so one of 21 blocks is equal, and length values differ by at most 1.
+    By windows of 11 or 12 values (see functions.windows): each digest keeps 11 keys and asks for all that lie one step away,
+    about 190, so two digests that are not alike meet with a probability of 10^-6 and candidates stay few as tables grow.
     """
-    if within > BLOCKS - 1:
-        raise ValueError(f"blocks find all pairs up to distance {BLOCKS - 1}")
+    if within > WITHIN:
+        raise ValueError(f"windows find all pairs up to distance {WITHIN}")
     d = scratch.cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(*(F.first(p).alias(p) for p in PARTS)), "digests")
-    a = block_keys(d, ["digest"], 1, False).withColumnRenamed("digest", "x")
-    b = block_keys(d, ["digest"], 1, True).withColumnRenamed("digest", "y")
-    pairs = a.join(b, "key").where("x <> y").select(F.least("x", "y").alias("digest_a"), F.greatest("x", "y").alias("digest_b")).distinct()
-    side = lambda s: d.select(F.col("digest").alias(f"digest_{s}"), *(F.col(p).alias(f"{s}_{p}") for p in PARTS))
-    both = pairs.join(side("a"), "digest_a").join(side("b"), "digest_b")
-    return both.select("digest_a", "digest_b", distance(*({p: F.col(f"{s}_{p}") for p in PARTS} for s in ("a", "b"))).alias("distance")).where(F.col("distance") <= within)
+    d = d.withColumn("id", F.xxhash64(*PARTS))  # a short key for candidates, which may clash, as digests are compared below
+    ask = windows.banded(windows.asked(d, ["id", "head"]), "head", 1, False).select("key", F.col("id").alias("x"))
+    keep = windows.banded(windows.kept(d, ["id", "head"]), "head", 1, True).select("key", F.col("id").alias("y"))
+    # A window one step away is asked for from both ends, so nearly every pair comes twice; a digest also meets itself.
+    pairs = ask.join(keep.hint("merge"), "key").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    side = lambda s, k: d.select(F.col("id").alias(k), F.col("digest").alias(f"digest_{s}"), *(F.col(p).alias(f"{s}_{p}") for p in PARTS)).hint("merge")
+    both = pairs.join(side("a", "x"), "x").join(side("b", "y"), "y").where("digest_a <> digest_b")
+    near = both.select(F.least("digest_a", "digest_b").alias("digest_a"), F.greatest("digest_a", "digest_b").alias("digest_b"), distance(*({p: F.col(f"{s}_{p}") for p in PARTS} for s in ("a", "b"))).alias("distance"))
+    return near.where(F.col("distance") <= within).distinct()
 
 
 def pair_edges(rows: DataFrame, scratch: Scratch, within: int = 20) -> DataFrame:
@@ -63,9 +56,9 @@ def pair_edges(rows: DataFrame, scratch: Scratch, within: int = 20) -> DataFrame
     near = scratch.cut(near_edges(rows, scratch, within), "near")
     ends = rows.select("sha", "ts", "digest", "content")
     side = lambda s: ends.select(*(F.col(c).alias(f"{c}_{s}") for c in ends.columns))
-    one = near.join(side("a"), "digest_a").join(side("b"), "digest_b").select("sha_a", "ts_a", "sha_b", "ts_b", "distance")
-    same = side("a").join(side("b"), F.col("digest_a") == F.col("digest_b")).where("sha_a < sha_b").select("sha_a", "ts_a", "sha_b", "ts_b", F.lit(0).alias("distance"))
-    content = side("a").join(side("b"), F.col("content_a") == F.col("content_b")).where("sha_a < sha_b").select("sha_a", "ts_a", "sha_b", "ts_b", F.lit(None).cast("int").alias("distance"))
+    one = near.join(side("a").hint("merge"), "digest_a").join(side("b").hint("merge"), "digest_b").select("sha_a", "ts_a", "sha_b", "ts_b", "distance")
+    same = side("a").join(side("b").hint("merge"), F.col("digest_a") == F.col("digest_b")).where("sha_a < sha_b").select("sha_a", "ts_a", "sha_b", "ts_b", F.lit(0).alias("distance"))
+    content = side("a").join(side("b").hint("merge"), F.col("content_a") == F.col("content_b")).where("sha_a < sha_b").select("sha_a", "ts_a", "sha_b", "ts_b", F.lit(None).cast("int").alias("distance"))
     rows3 = one.withColumn("eq", F.lit(False)).unionByName(same.withColumn("eq", F.lit(False))).unionByName(content.withColumn("eq", F.lit(True)))
     swap = (F.col("ts_a") > F.col("ts_b")) | ((F.col("ts_a") == F.col("ts_b")) & (F.col("sha_a") > F.col("sha_b")))
     keyed = rows3.select(F.when(swap, F.col("sha_b")).otherwise(F.col("sha_a")).alias("earlier"), F.when(swap, F.col("sha_a")).otherwise(F.col("sha_b")).alias("later"), "distance", "eq")
@@ -80,21 +73,51 @@ def decisions(targets: DataFrame, references: DataFrame, edges: DataFrame, thres
     are any, else over both kinds. train_stage: rows for which it holds are excluded by exact copies only.
     """
     order = references.select(F.col("sha").alias("earlier"), F.col("ts").alias("_ets")).unionByName(targets.select(F.col("sha").alias("earlier"), F.col("ts").alias("_ets"))).distinct()
-    e = edges.join(order, "earlier").withColumnRenamed("later", "sha")
-    out = None
     t = targets.select("sha", (F.lit(False) if train_stage is None else train_stage).alias("_train"))
-    for k in thresholds:
-        near = F.col("distance") <= k
-        hit = e.join(t, "sha").where(F.col("content_equal") | (near & ~F.col("_train")))
-        rank = F.struct((~F.col("content_equal") if exact_first else F.lit(False)).alias("a"), F.col("_ets").alias("b"), F.col("earlier").alias("c"))
-        w = hit.groupBy("sha").agg(F.min_by(F.struct("earlier", "content_equal", "distance"), rank).alias("w"))
-        d = t.select("sha").join(w, "sha", "left").select(
-            "sha", F.lit(k).alias("threshold"), F.when(F.col("w").isNull(), "KEEP").otherwise("EXCLUDE").alias("decision"),
-            F.when(F.col("w").isNull(), "no_earlier_match").when(F.col("w.content_equal"), "exact_sha256").otherwise("tlsh").alias("reason"),
-            F.coalesce(F.col("w.earlier"), F.lit("")).alias("reference_sha"), F.when(~F.col("w.content_equal"), F.col("w.distance")).alias("tlsh_distance"),
-        )
-        out = d if out is None else out.unionByName(d)
-    return out
+    hit = edges.join(order.hint("merge"), "earlier").withColumnRenamed("later", "sha").join(t.hint("merge"), "sha")
+    rank = F.struct((~F.col("content_equal") if exact_first else F.lit(False)).alias("a"), F.col("_ets").alias("b"), F.col("earlier").alias("c"))
+    counts = lambda k: F.col("content_equal") | ((F.col("distance") <= k) & ~F.col("_train"))
+    # All thresholds in one pass over the edges.
+    w = hit.groupBy("sha").agg(*(F.min_by(F.when(counts(k), F.struct("earlier", "content_equal", "distance")), F.when(counts(k), rank)).alias(f"w{k}") for k in thresholds))
+    return _decided(t.select("sha").join(w.hint("merge"), "sha", "left"), thresholds)
+
+
+def _decided(df: DataFrame, thresholds: list[int]) -> DataFrame:
+    """The rows of decisions from columns w0, w10, ...: struct(earlier, content_equal, distance) of the witness, or null."""
+    each = df.select("sha", F.inline(F.array(*(F.struct(F.lit(k).alias("threshold"), F.col(f"w{k}").alias("w")) for k in thresholds))))
+    return each.select(
+        "sha", "threshold", F.when(F.col("w").isNull(), "KEEP").otherwise("EXCLUDE").alias("decision"),
+        F.when(F.col("w").isNull(), "no_earlier_match").when(F.col("w.content_equal"), "exact_sha256").otherwise("tlsh").alias("reason"),
+        F.coalesce(F.col("w.earlier"), F.lit("")).alias("reference_sha"), F.when(~F.col("w.content_equal"), F.col("w.distance")).alias("tlsh_distance"),
+    )
+
+
+def class_decisions(rows: DataFrame, near: DataFrame, thresholds: list[int], exact_first: bool = True, train_stage: Column | None = None) -> DataFrame:
+    """What decisions() gives for rows as targets and references, from near_edges and without the pairs of copies.
+
+    The witness is the earliest row (ts, sha) of a class, so a content or digest that a third of the rows share is one
+    aggregate and not its square: of equal contents the earliest, of digests within the threshold the earliest of
+    each one's earliest. A row is excluded if that is earlier than itself. A null ts is the earliest.
+    """
+    me = F.struct("ts", "sha")
+    mine = rows.select("sha", "content", "digest", me.alias("at"), (F.lit(False) if train_stage is None else train_stage).alias("_train"))
+    copies = mine.where("content IS NOT NULL").groupBy("content").agg(F.min("at").alias("c_at"))
+    firsts = mine.where("digest IS NOT NULL").groupBy("digest").agg(F.min("at").alias("d_at"))
+    ends = lambda a, b: near.select(F.col(a).alias("to"), F.col(b).alias("digest"), "distance")
+    reach = ends("digest_a", "digest_b").unionByName(ends("digest_b", "digest_a")).join(firsts.hint("merge"), "digest").select("to", "d_at", "distance")
+    reach = reach.unionByName(firsts.select(F.col("digest").alias("to"), "d_at", F.lit(0).alias("distance")))
+    best = reach.groupBy(F.col("to").alias("digest")).agg(*(F.min(F.when(F.col("distance") <= k, F.struct("d_at", "distance"))).alias(f"n{k}") for k in thresholds))
+    j = mine.join(copies.hint("merge"), "content", "left").join(best.hint("merge"), "digest", "left")
+
+    def witness(k: int) -> Column:
+        exact = F.when(F.col("c_at") < F.col("at"), F.struct(F.col("c_at.sha").alias("earlier"), F.lit(True).alias("content_equal"), F.lit(None).cast("int").alias("distance")))
+        alike = F.when((F.col(f"n{k}.d_at") < F.col("at")) & ~F.col("_train"), F.struct(F.col(f"n{k}.d_at.sha").alias("earlier"), F.lit(False).alias("content_equal"), F.col(f"n{k}.distance").cast("int").alias("distance")))
+        if exact_first:
+            return F.coalesce(exact, alike)
+        # The earlier of the two; one row that is both is an exact copy.
+        return F.when(exact.isNotNull() & (alike.isNull() | (F.col("c_at") <= F.col(f"n{k}.d_at"))), exact).otherwise(alike)
+
+    return _decided(j.select("sha", *(witness(k).alias(f"w{k}") for k in thresholds)), thresholds)
 
 
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -103,16 +126,18 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     Vertices are compared as they are, so a caller who wants the earliest member as root passes ordered keys.
     """
     now = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    least = lambda df, k: df.join(df.groupBy(k).agg(F.min("v").alias("m")), k)
+    least = lambda df, k: df.join(df.groupBy(k).agg(F.min("v").alias("m")).hint("merge"), k)
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
+    before = mark(now)
     for _ in range(max_rounds):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         large = least(both, "u").select(F.col("v").alias("hi"), F.least("m", "u").alias("lo"), "u").where("v > u AND hi <> lo").select("hi", "lo").distinct()
         small = least(large.select(F.col("hi").alias("u"), F.col("lo").alias("v")), "u")
         nxt = small.select(F.col("v").alias("hi"), F.col("m").alias("lo")).unionByName(small.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).where("hi <> lo").distinct()
         nxt = scratch.cut(nxt, "edges")
-        mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        same = mark(now) == mark(nxt)
-        now = nxt
+        marked = mark(nxt)
+        scratch.drop(now)
+        now, same, before = nxt, marked == before, marked
         if same:
             return now.select(F.col("hi").alias("vertex"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("vertex"), F.col("lo").alias("component")).distinct())
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
@@ -123,12 +148,34 @@ def group_members(rows: DataFrame, edges: DataFrame, scratch: Scratch, threshold
 
     An edge with an end outside rows joins nothing: outsiders are no bridges. A row without edges is its own group.
     """
-    ids = rows.select("sha", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("|"), "sha").alias("k"))
+    ids = rows.select("sha", _order_key().alias("k"))
     inside = edges.where(F.col("content_equal") | (F.col("distance") <= threshold))
-    e = inside.join(ids.select(F.col("sha").alias("earlier"), F.col("k").alias("a")), "earlier").join(ids.select(F.col("sha").alias("later"), F.col("k").alias("b")), "later").select("a", "b")
+    e = inside.join(ids.select(F.col("sha").alias("earlier"), F.col("k").alias("a")).hint("merge"), "earlier").join(ids.select(F.col("sha").alias("later"), F.col("k").alias("b")).hint("merge"), "later").select("a", "b")
     c = components(e, scratch).withColumnRenamed("vertex", "k")
-    named = ids.join(c, "k", "left").select("sha", F.substring_index(F.coalesce("component", "k"), "|", -1).alias("group_id"))
-    return rows.join(named, "sha")
+    named = ids.join(c.hint("merge"), "k", "left").select("sha", F.substring_index(F.coalesce("component", "k"), "|", -1).alias("group_id"))
+    return rows.join(named.hint("merge"), "sha")
+
+
+def _order_key() -> Column:
+    """Text that sorts as (ts, sha), a null ts first, and ends in the sha."""
+    return F.concat(F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("")), F.lit("|"), "sha")
+
+
+def class_groups(rows: DataFrame, near: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    """What group_members() gives over all pairs within the threshold or of equal content, from near_edges.
+
+    Every row is linked to the earliest row of its content and of its digest, and these of two near digests to each other: one
+    link a row and class pair instead of the square of a class. Only digests of rows count, so outsiders are no bridges.
+    """
+    ids = rows.select("sha", _order_key().alias("k"), "content", "digest")
+    first = lambda c: ids.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("k").alias("b"))
+    digests = first("digest")
+    links = [ids.join(first("content").hint("merge"), "content").select(F.col("k").alias("a"), "b"), ids.join(digests.hint("merge"), "digest").select(F.col("k").alias("a"), "b")]
+    of = lambda s, to: digests.select(F.col("digest").alias(f"digest_{s}"), F.col("b").alias(to)).hint("merge")
+    links.append(near.where(F.col("distance") <= threshold).join(of("a", "a"), "digest_a").join(of("b", "b"), "digest_b").select("a", "b"))
+    c = components(links[0].unionByName(links[1]).unionByName(links[2]), scratch).withColumnRenamed("vertex", "k")
+    named = ids.join(c.hint("merge"), "k", "left").select("sha", F.substring_index(F.coalesce("component", "k"), "|", -1).alias("group_id"))
+    return rows.join(named.hint("merge"), "sha")
 
 
 def nearest_neighbours(queries: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -207,6 +254,20 @@ def two_sides(members: DataFrame, month: str, group: str, cls: str) -> DataFrame
     return counts.groupBy(month).applyInPandas(greedy, f"`{month}` {t[month]}, `{group}` {t[group]}, side int")
 
 
+def partition_check(grouped: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
+    """One row: members, groups, largest, links, broken_links (between groups), lonely (members of a group of several without a link).
+
+    grouped: sha, group_id; edges as from pair_edges. Independent of how groups were made: it only joins both ends.
+    """
+    end = lambda k, g: grouped.select(F.col("sha").alias(k), F.col("group_id").alias(g)).hint("merge")
+    links = edges.where(F.col("content_equal") | (F.col("distance") <= threshold)).join(end("earlier", "g"), "earlier").join(end("later", "h"), "later")
+    linked = links.select(F.col("earlier").alias("sha")).unionByName(links.select(F.col("later").alias("sha"))).distinct()
+    sizes = grouped.groupBy("group_id").agg(F.count("*").alias("n"))
+    lonely = grouped.join(sizes.where("n > 1").hint("merge"), "group_id").join(linked.hint("merge"), "sha", "left_anti")
+    one = [sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.count("*").alias("groups"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")), links.agg(F.count("*").alias("links"), F.count_if(F.col("g") != F.col("h")).alias("broken_links")), lonely.agg(F.count("*").alias("lonely"))]
+    return one[0].crossJoin(F.broadcast(one[1])).crossJoin(F.broadcast(one[2])).select(F.lit(threshold).alias("threshold"), "*")  # one row each
+
+
 def numbered(df: DataFrame, root: str, prefix: str, scratch: Scratch, out: str = "group_no") -> DataFrame:
     """Adds names like F000001, numbered by the order of roots."""
     roots = global_rank(df.select(root).distinct(), [root], scratch).select(root, F.format_string(prefix + "%06d", F.col("rank_index") + 1).alias(out))

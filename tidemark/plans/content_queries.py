@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from tidemark.operators import byteviews, retention
+from tidemark.plans.registry import clean as c
 from tidemark.plans.registry import query
 from tidemark.plans.tables import EDGES, TRAIN, VALIDATION, distance_sql, inventory, packed
 from tidemark.functions.keys import clean, instant
@@ -111,8 +112,8 @@ def j06(spark, d):
 
 def _decided(spark, d, exact_first):
     s = Scratch(spark, "j08")
-    t, e = _train(spark, d), s.cut(_edges(spark, d, s), "edges")
-    return retention.decisions(t, t.where("false"), e, [0, 10, 20], exact_first)
+    t = s.cut(_train(spark, d), "rows")
+    return retention.class_decisions(t, s.cut(retention.near_edges(t, s), "near"), [0, 10, 20], exact_first)
 
 
 def _decision_sql(exact_first: bool) -> str:
@@ -149,51 +150,79 @@ def a36(spark, d):
     return retention.cumulative_cutoffs(j13(spark, d), [0, 10, 20, 30, 50])
 
 
-@query("G01_G02_train_groups")
+#: Groups by a breadth-first closure over all pairs: mem (scope, k, sha, pos) of a query gives gr (scope, sha, group_id).
+CLOSURE = """, l AS (SELECT a.scope, a.pos AS x, b.pos AS y FROM ed JOIN mem a ON ed.earlier = a.sha JOIN mem b ON ed.later = b.sha AND a.scope = b.scope WHERE ed.content_equal OR ed.distance <= a.k),
+both_ways AS (SELECT * FROM l UNION SELECT scope, y, x FROM l),
+r AS (SELECT DISTINCT scope, x AS pos, x AS root FROM both_ways UNION SELECT w.scope, w.y, r.root FROM r JOIN both_ways w ON r.scope = w.scope AND r.pos = w.x WHERE r.root < w.y),
+rt AS (SELECT scope, pos, min(root) AS root FROM r GROUP BY 1, 2),
+gr AS (SELECT mem.scope, mem.k, mem.sha, z.sha AS group_id FROM mem LEFT JOIN rt ON mem.scope = rt.scope AND mem.pos = rt.pos JOIN od z ON z.pos = coalesce(rt.root, mem.pos))"""
+
+
+def _closure(mem: str) -> str:
+    return f"WITH RECURSIVE {PAIRS}, od AS (SELECT sha, ts, strftime(ts, '%Y-%m') AS month, row_number() OVER (ORDER BY ts NULLS FIRST, sha) AS pos FROM o), kept AS (SELECT DISTINCT {c('sha')} AS sha FROM manifest WHERE retained), mem AS ({mem}){CLOSURE} "
+
+
+_THREE = "SELECT 'T' || k AS scope, k, sha, pos FROM od, (SELECT unnest([0, 10, 20]) AS k)"
+
+
+@query("G01_G02_train_groups", _closure(_THREE) + "SELECT sha, k AS threshold, 'T' || k || '_' || group_id AS group_id FROM gr")
 def g01(spark, d):
     s = Scratch(spark, "g01")
-    t = _train(spark, d)
-    e = s.cut(_edges(spark, d, s), "edges")
+    t = s.cut(_train(spark, d), "rows")
+    near = s.cut(retention.near_edges(t, s), "near")
     out = None
     for k in (0, 10, 20):
-        g = retention.group_members(t, e, s, k).select("sha", F.lit(k).alias("threshold"), F.concat(F.lit(f"T{k}_"), "group_id").alias("group_id"))
+        g = retention.class_groups(t, near, s, k).select("sha", F.lit(k).alias("threshold"), F.concat(F.lit(f"T{k}_"), "group_id").alias("group_id"))
         out = g if out is None else out.unionByName(g)
     return out
 
 
-def _scoped(spark, d, months, retained_only=False):
-    """Members of months, of all or of retained rows, grouped by edges inside that scope at distance 10."""
-    s = Scratch(spark, "g03")
-    t = _train(spark, d).where(F.date_format("ts", "yyyy-MM").isin(*months))
-    kept = table(spark, d, "manifest").where("retained").select(clean("sha").alias("sha")).distinct()
-    t = t.join(kept, "sha", "left_semi") if retained_only else t
-    e = retention.pair_edges(t, s, 10)
-    return retention.group_members(t, e, s, 10)
+def _retained(spark, d):
+    return table(spark, d, "manifest").where("retained").select(clean("sha").alias("sha")).distinct().hint("merge")
+
 
+def _months(spark, d, s, months):
+    """Rows of months, and the near pairs of their digests."""
+    t = s.cut(_train(spark, d).where(F.date_format("ts", "yyyy-MM").isin(*months)), "rows")
+    return t, s.cut(retention.near_edges(t, s, 10), "near")
 
-@query("G03_month_groups")
+
+@query("G03_month_groups", _closure("SELECT 'm' AS scope, 10 AS k, sha, pos FROM od WHERE month = '2019-12'") + "SELECT sha, group_id, sha IN (SELECT sha FROM kept) AS retained FROM gr")
 def g03(spark, d):
-    return _scoped(spark, d, ["2019-12"]).select("sha", "group_id")
+    """Members of 2019-12 grouped by edges inside the month; excluded rows are bridges, only retained members are scored."""
+    s = Scratch(spark, "g03")
+    t, near = _months(spark, d, s, ["2019-12"])
+    g = retention.class_groups(t, near, s, 10).select("sha", "group_id")
+    return g.join(_retained(spark, d).withColumn("retained", F.lit(True)), "sha", "left").select("sha", "group_id", F.coalesce("retained", F.lit(False)).alias("retained"))
 
 
-@query("G04_joint_groups")
+@query("G04_joint_groups", _closure("SELECT 'joint' AS scope, 10 AS k, sha, pos FROM od WHERE month IN ('2019-12', '2020-01') UNION ALL SELECT 'kept', 10, sha, pos FROM od WHERE month IN ('2019-12', '2020-01') AND sha IN (SELECT sha FROM kept) UNION ALL SELECT month, 10, sha, pos FROM od WHERE month IN ('2019-12', '2020-01')") + "SELECT j.sha, j.group_id AS joint_group, m.group_id AS local_group, r.group_id AS retained_group FROM gr j JOIN gr m ON j.sha = m.sha AND m.scope LIKE '20%' LEFT JOIN gr r ON j.sha = r.sha AND r.scope = 'kept' WHERE j.scope = 'joint'")
 def g04(spark, d):
-    joint = _scoped(spark, d, ["2019-12", "2020-01"]).select("sha", F.col("group_id").alias("joint_group"))
-    only = _scoped(spark, d, ["2019-12", "2020-01"], True).select("sha", F.col("group_id").alias("retained_group"))
-    local = _scoped(spark, d, ["2019-12"]).unionByName(_scoped(spark, d, ["2020-01"])).select("sha", F.col("group_id").alias("local_group"))
-    return joint.join(local, "sha").join(only, "sha", "left")
+    """Groups over both months, over their retained rows, and month by month, from one table of near pairs."""
+    s = Scratch(spark, "g04")
+    t, near = _months(spark, d, s, ["2019-12", "2020-01"])
+    groups = lambda rows: retention.class_groups(rows, near, s, 10)
+    joint = groups(t).select("sha", F.col("group_id").alias("joint_group"))
+    only = groups(t.join(_retained(spark, d), "sha", "left_semi")).select("sha", F.col("group_id").alias("retained_group"))
+    months = [groups(t.where(F.date_format("ts", "yyyy-MM") == m)) for m in ("2019-12", "2020-01")]
+    local = months[0].unionByName(months[1]).select("sha", F.col("group_id").alias("local_group"))
+    return joint.join(local.hint("merge"), "sha").join(only.hint("merge"), "sha", "left")
+
 
+_NINE = "SELECT s.scope || k AS scope, k, sha, pos FROM od JOIN (SELECT unnest(['train', 'later', 'whole']) AS scope) s ON s.scope = 'whole' OR (s.scope = 'train') = (ts < TIMESTAMP '2019-12-01'), (SELECT unnest([0, 10, 20]) AS k)"
 
-@query("G05_episode_partitions")
+
+@query("G05_episode_partitions", _closure(_NINE) + "SELECT regexp_extract(scope, '[a-z]+') AS scope, k AS threshold, count(*) AS groups, max(n) AS largest FROM (SELECT scope, k, group_id, count(*) AS n FROM gr GROUP BY 1, 2, 3) GROUP BY scope, k")
 def g05(spark, d):
-    """Nine partitions: the train stage, the later stages and all, at thresholds 0, 10 and 20, from one edge table."""
+    """Nine partitions: the train stage, the later stages and all, at thresholds 0, 10 and 20, from one table of near pairs."""
     s = Scratch(spark, "g05")
-    t, e = s.cut(_train(spark, d), "rows"), s.cut(_edges(spark, d, s), "edges")
+    t = s.cut(_train(spark, d), "rows")
+    near = s.cut(retention.near_edges(t, s), "near")
     cut = F.lit("2019-12-01").cast("timestamp")
     out = None
     for name, rows in (("train", t.where(F.col("ts") < cut)), ("later", t.where(F.col("ts") >= cut)), ("whole", t)):
         for k in (0, 10, 20):
-            g = retention.group_members(rows, e, s, k).groupBy("group_id").agg(F.count("*").alias("size")).agg(F.count("*").alias("groups"), F.max("size").alias("largest"))
+            g = retention.class_groups(rows, near, s, k).groupBy("group_id").agg(F.count("*").alias("size")).agg(F.count("*").alias("groups"), F.max("size").alias("largest"))
             g = g.select(F.lit(name).alias("scope"), F.lit(k).alias("threshold"), "groups", "largest")
             out = g if out is None else out.unionByName(g)
     return out
@@ -221,6 +250,19 @@ def g06(spark, d):
     return e.agg(F.count("*").alias("accepted"), F.count_distinct(clean("sha_a")).alias("starts"))
 
 
+@query("G06_partition_check", _closure(_THREE) + "SELECT gr.k AS threshold, count(*) AS members, count(DISTINCT group_id) AS groups, (SELECT max(n) FROM (SELECT count(*) AS n FROM gr g2 WHERE g2.k = gr.k GROUP BY g2.group_id)) AS largest, (SELECT count(*) FROM l WHERE l.scope = 'T' || gr.k) AS links, (SELECT count(*) FROM ed JOIN gr a ON ed.earlier = a.sha JOIN gr b ON ed.later = b.sha AND a.k = b.k WHERE a.k = gr.k AND (ed.content_equal OR ed.distance <= a.k) AND a.group_id <> b.group_id) AS broken_links, 0::BIGINT AS lonely FROM gr GROUP BY gr.k")
+def g06_check(spark, d):
+    s = Scratch(spark, "g06")
+    t = s.cut(_train(spark, d), "rows")
+    near = s.cut(retention.near_edges(t, s), "near")
+    e = s.cut(retention.pair_edges(t, s), "edges")
+    out = None
+    for k in (0, 10, 20):
+        row = retention.partition_check(s.cut(retention.class_groups(t, near, s, k).select("sha", "group_id"), "groups"), e, k)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("V09_V10_witnesses", f"WITH {PAIRS}, h AS (SELECT ed.*, row_number() OVER (PARTITION BY ed.later ORDER BY CASE WHEN ed.content_equal THEN 0 ELSE 1 END, o.ts, o.sha) AS r FROM ed JOIN o ON ed.earlier = o.sha WHERE ed.content_equal OR ed.distance <= 20) SELECT count(*) AS excluded, count(*) FILTER (a.ts < b.ts OR (a.ts = b.ts AND a.sha < b.sha)) AS earlier_witness FROM h JOIN o a ON h.earlier = a.sha JOIN o b ON h.later = b.sha WHERE r = 1")
 def v09(spark, d):
     dec = _decided(spark, d, True).where("threshold = 20 AND decision = 'EXCLUDE'")
