@@ -37,6 +37,8 @@ MISS = 4e-5
 TOKENS = 512
 PER_PASS = 24
 SEED = 1
+#: Rows of a pass in a task, which a hash table of about 40 MB holds.
+PER_TASK = 500_000
 #: Similarity of two digests at distance 30, and of two that have nothing to do with each other.
 ALIKE, STRANGERS = 98 / 158, 32 / 224
 
@@ -53,15 +55,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 def layout(n: int, meet: float, miss: float = MISS) -> tuple[int, int]:
     """(bands, coordinates a band) for n digests, of which two fall into one zone with probability `meet`.
 
-    The cheapest of those that keep the probability of a miss: a band costs a row a digest, a pair of strangers that
-    share one about half a row.
+    The cheapest of those that keep the probability of a miss: a band costs a row a digest, which is made, shuffled and
+    hashed; a pair of strangers that share one costs about a seventh of that, as it is only compared.
     """
 
     def bands(rows: int) -> int:
         return math.ceil(math.log(miss) / math.log1p(-(ALIKE**rows)))
 
     def cost(rows: int) -> float:
-        return bands(rows) * (1 + 0.5 * n * meet * STRANGERS**rows)
+        return bands(rows) * (1 + 0.15 * n * meet * STRANGERS**rows)
 
     rows = min(range(3, 15), key=cost)
     return bands(rows), rows
@@ -155,7 +157,8 @@ def near_digests(digests: DataFrame, scratch: Scratch, within: int = WITHIN) ->
     """CLASS of two distinct digests within the distance, as a_id, a_head, ..., b_id, ..., and distance; each pair once.
 
     Band keys carry a zone of length values: values more than 2 apart make the distance exceed 30. Zones are 16 values
-    wide; a digest within 2 of the next zone is in both, so a pass makes one shuffled table and joins it with itself.
+    wide; a digest within 2 of the next zone is in both, so a pass makes one shuffled table and joins it with itself, by
+    hash tables whose size the number of tasks bounds.
     """
     if within > WITHIN:
         raise ValueError(f"bands are laid out for distances up to {WITHIN}")
@@ -165,15 +168,16 @@ def near_digests(digests: DataFrame, scratch: Scratch, within: int = WITHIN) ->
     n = sum(crowd)
     bands, rows = layout(n, 1.5 * sum(c * c for c in crowd) / max(1, n * n))
     half = lambda x: F.when(F.col("band") % 2 == 0, F.col(f"{x}0")).otherwise(F.col(f"{x}1")).alias(x)
+    tasks = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.5 * n * min(bands, PER_PASS) / PER_TASK))
     hits = None
     for start in range(0, bands, PER_PASS):
         banded = with_bands(digests, bands, rows, start, min(bands, start + PER_PASS))
         keys = banded.select("id", "head", *UPPER, *LOWER, F.posexplode("bands").alias("band", "key")).select("id", "key", half("h"), half("l"), F.explode(F.array_distinct(F.array(zone(-2), zone(0), zone(2)))).alias("zone"))
-        keys = keys.select(F.xxhash64("key", "zone").alias("key"), "id", "h", "l").repartition("key")
+        keys = keys.select(F.xxhash64("key", "zone").alias("key"), "id", "h", "l").repartition(tasks, "key")
         other = keys.select("key", F.col("id").alias("other"), F.col("h").alias("oh"), F.col("l").alias("ol"))
         twins = (F.col("id") == F.col("other")) & ((F.col("h") != F.col("oh")) | (F.col("l") != F.col("ol")))  # digests that share a hash
         close = plane_distance(F.col("h"), F.col("l"), F.col("oh"), F.col("ol")) <= within
-        met = scratch.cut(keys.join(other.hint("merge"), "key").where(((F.col("id") < F.col("other")) | twins) & close).select(F.col("id").alias("a_id"), F.col("other").alias("b_id")).distinct(), "met")
+        met = scratch.cut(keys.join(other.hint("shuffle_hash"), "key").where(((F.col("id") < F.col("other")) | twins) & close).select(F.col("id").alias("a_id"), F.col("other").alias("b_id")).distinct(), "met")
         hits = met if hits is None else hits.unionByName(met)
         clean_up(scratch.spark)  # the pass's shuffle files
     both = hits.distinct().join(of_class(digests, "a").hint("merge"), "a_id").join(of_class(digests, "b").hint("merge"), "b_id")
