@@ -138,6 +138,12 @@ def declared_size(content: Column, size: Column) -> Column:
     return F.when(F.length(content) == size, content).otherwise(F.raise_error(F.concat(F.lit("content has not its declared size "), size.cast("string"))).cast("binary"))
 
 
+def size_status(content: Column, size: Column) -> Column:
+    """EXACT, SHORT (fewer bytes than declared), TRAILING (more), UNDECLARED (no size), MISSING (no content)."""
+    n = F.length(content)
+    return F.when(content.isNull(), "MISSING").when(size.isNull(), "UNDECLARED").when(n < size, "SHORT").when(n > size, "TRAILING").otherwise("EXACT")
+
+
 def permutation(path: str, heading: str = "*Table T:*") -> list[int]:
     """The permutation of 0..255 that a digest's hash uses, read from a text in which it follows a heading."""
     import re

@@ -18,6 +18,8 @@ from tidemark.session import Scratch
 
 #: The distance up to which windows find every pair.
 WITHIN = 20
+#: Queries of a search that are compared with all rows at a time: about 4 MB.
+BLOCK = 20_000
 
 
 def inventory(df: DataFrame) -> DataFrame:
@@ -181,15 +183,23 @@ def class_groups(rows: DataFrame, near: DataFrame, scratch: Scratch, threshold:
 def nearest_neighbours(queries: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Per query: least distance to any other sample, ties, ties of the same and of another class, least sha among them.
 
-    Exhaustive by definition; the queries, a stated set, are compared with all rows in blocks of `rows`, and each block
-    sends one compact state a query and distance minimum.
+    Exhaustive by definition; the queries, a stated set, are compared with all rows in blocks of about BLOCK queries. A
+    block is small enough to be sent to every task of `rows`; each task gives one compact state a query and distance.
     """
-    q = queries.select(F.col("sha").alias("q_sha"), F.col("cls").alias("q_cls"), *(F.col(p).alias(f"q_{p}") for p in PARTS)).where("q_head IS NOT NULL")
+    q = queries.where("head IS NOT NULL").select(F.col("sha").alias("q_sha"), F.col("cls").alias("q_cls"), *(F.col(p).alias(f"q_{p}") for p in PARTS))
+    q = scratch.cut(q, "queries")
     r = rows.where("head IS NOT NULL").select("sha", "cls", *PARTS)
-    d = r.join(q, F.col("q_sha") != F.col("sha")).select("q_sha", "sha", (F.col("cls") == F.col("q_cls")).alias("same"), distance({p: F.col(f"q_{p}") for p in PARTS}, {p: F.col(p) for p in PARTS}).alias("d"))
-    per = d.groupBy("q_sha", "d").agg(F.count("*").alias("ties"), F.count_if("same").alias("same_class"), F.min("sha").alias("nearest_sha"))
-    best = per.groupBy("q_sha").agg(F.min_by(F.struct("ties", "same_class", "nearest_sha"), "d").alias("b"), F.min("d").alias("distance"))
-    return best.select(F.col("q_sha").alias("sha"), "distance", "b.ties", "b.same_class", (F.col("b.ties") - F.col("b.same_class")).alias("other_class"), "b.nearest_sha")
+    blocks = max(1, -(-q.count() // BLOCK))
+    out = None
+    for i in range(blocks):
+        mine = q.where(F.pmod(F.xxhash64("q_sha"), F.lit(blocks)) == i)
+        d = r.join(F.broadcast(mine), F.col("q_sha") != F.col("sha")).select("q_sha", "sha", (F.col("cls") == F.col("q_cls")).alias("same"), distance({p: F.col(f"q_{p}") for p in PARTS}, {p: F.col(p) for p in PARTS}).alias("d"))
+        per = d.groupBy("q_sha", "d").agg(F.count("*").alias("ties"), F.count_if("same").alias("same_class"), F.min("sha").alias("nearest_sha"))
+        best = per.groupBy("q_sha").agg(F.min_by(F.struct("ties", "same_class", "nearest_sha"), "d").alias("b"), F.min("d").alias("distance"))
+        got = best.select(F.col("q_sha").alias("sha"), "distance", "b.ties", "b.same_class", (F.col("b.ties") - F.col("b.same_class")).alias("other_class"), "b.nearest_sha")
+        got = scratch.cut(got, "nearest") if blocks > 1 else got
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def cumulative_cutoffs(nearest: DataFrame, cutoffs: list[int]) -> DataFrame:

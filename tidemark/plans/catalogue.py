@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import clean
 from tidemark.operators import skew
-from tidemark.plans import content_queries, model_queries, select_queries, study_queries  # noqa: F401
+from tidemark.plans import content_queries, model_queries, select_queries, study_queries, verify_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL, query, typed
 from tidemark.plans.registry import clean as c
 from tidemark.plans.tables import SAMPLES

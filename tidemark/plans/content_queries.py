@@ -79,7 +79,8 @@ def b11(spark, d):
     """Each document against the longest of its campaign: prefix, suffix, anchors."""
     c = table(spark, d, "documents").select("doc_id", "campaign_id", F.encode("text", "UTF-8").alias("content")).where("length(content) > 0 AND campaign_id IS NOT NULL")
     longest = c.groupBy("campaign_id").agg(F.max_by(F.struct("doc_id", "content"), F.struct(F.length("content"), "doc_id")).alias("l"))
-    j = c.join(longest, "campaign_id").where("doc_id <> l.doc_id")
+    # Sort-merge by hint: AQE splits the rows of a large campaign, and each part reads the one longest text.
+    j = c.join(longest.hint("merge"), "campaign_id").where("doc_id <> l.doc_id")
     return j.select("doc_id", F.col("l.doc_id").alias("longest"), byteviews.compare_columns(F.col("content"), F.col("l.content")).alias("r")).select("doc_id", "longest", "r.prefix", "r.suffix", "r.one_insertion", F.size(F.filter("r.anchors", lambda a: a["status"] == "UNIQUE_MATCH")).alias("unique_anchors"))
 
 
@@ -138,14 +139,17 @@ def j11(spark, d):
     return retention.decisions(t, t.where("false"), e, [10], True, F.col("ts") < F.lit("2019-12-01").cast("timestamp"))
 
 
-@query("J13_nearest_neighbour", f"WITH {TRAIN}, {ONE}, {packed('x', 'o', 'sha, family')}, {VALIDATION}, vo AS (SELECT sha, min(family) AS family, min(digest) AS digest FROM v WHERE ('0x' || right(sha, 8))::BIGINT % 100 = 0 GROUP BY sha), {packed('y', 'vo', 'sha, family')}, dd AS (SELECT y.sha AS q, x.sha AS s, x.family = y.family AS same, {distance_sql('x', 'y')} AS d FROM y JOIN x ON x.sha <> y.sha), mn AS (SELECT q, min(d) AS d FROM dd GROUP BY q) SELECT dd.q AS sha, mn.d AS distance, count(*) AS ties, count(*) FILTER (same) AS same_class, count(*) - count(*) FILTER (same) AS other_class, min(s) AS nearest_sha FROM dd JOIN mn ON dd.q = mn.q AND dd.d = mn.d GROUP BY 1, 2")
+_NEAREST = f"WITH {TRAIN}, {ONE}, {packed('x', 'o', 'sha, family')}, {VALIDATION}, vo AS (SELECT sha, min(family) AS family, min(digest) AS digest FROM v WHERE ('0x' || right(sha, 8))::BIGINT % 100 = 0 GROUP BY sha), {packed('y', 'vo', 'sha, family')}, dd AS (SELECT y.sha AS q, x.sha AS s, x.family = y.family AS same, {distance_sql('x', 'y')} AS d FROM y JOIN x ON x.sha <> y.sha), mn AS (SELECT q, min(d) AS d FROM dd GROUP BY q) SELECT dd.q AS sha, mn.d AS distance, count(*) AS ties, count(*) FILTER (same) AS same_class, count(*) - count(*) FILTER (same) AS other_class, min(s) AS nearest_sha FROM dd JOIN mn ON dd.q = mn.q AND dd.d = mn.d GROUP BY 1, 2"
+
+
+@query("J13_nearest_neighbour", _NEAREST)
 def j13(spark, d):
     # The queries of a search: every row whose id, the last eight digits of its sha, is divisible by 100.
     q = retention.inventory(table(spark, d, "validation_tlsh")).where(F.conv(F.right("sha", F.lit(8)), 16, 10).cast("long") % 100 == 0)
     return retention.nearest_neighbours(q, _train(spark, d), Scratch(spark, "j13"))
 
 
-@query("A36_nearest_cutoffs")
+@query("A36_nearest_cutoffs", f"SELECT k AS cutoff, count(*) FILTER (distance <= k) AS n FROM (SELECT unnest([0, 10, 20, 30, 50]) AS k), ({_NEAREST}) GROUP BY k")
 def a36(spark, d):
     return retention.cumulative_cutoffs(j13(spark, d), [0, 10, 20, 30, 50])
 

@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -108,6 +109,42 @@ class _ZipReader(DataSourceReader):
                     yield partition.value, i.filename, i.file_size, i.compress_size, f"{i.CRC:08x}", "%04d-%02d-%02dT%02d:%02d:%02d" % i.date_time
 
 
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of zip_index for archives on any file system that Spark reads (up to 2 GB each, read whole by one task)."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        names = ["archive", "zip_member", "file_size", "compressed_size", "zip_crc32", "modified"]
+        for b in batches:
+            for at, data in zip(b["path"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    yield pd.DataFrame([(at, i.filename, i.file_size, i.compress_size, f"{i.CRC:08x}", "%04d-%02d-%02dT%02d:%02d:%02d" % i.date_time) for i in z.infolist() if not i.is_dir()], columns=names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    return files.select("path", "content").mapInPandas(run, "archive string, zip_member string, file_size long, compressed_size long, zip_crc32 string, modified string")
+
+
+def zip_summary(members: DataFrame, first: int = 10) -> DataFrame:
+    """archive, entries, file_bytes, compressed_bytes, first_members: the first names of each archive in sorted order."""
+    w = W.partitionBy("archive").orderBy("zip_member")
+    ranked = members.withColumn("_r", F.row_number().over(w))
+    few = F.array_sort(F.collect_list(F.when(F.col("_r") <= first, F.col("zip_member"))))
+    return ranked.groupBy("archive").agg(F.count("*").alias("entries"), F.sum("file_size").alias("file_bytes"), F.sum("compressed_size").alias("compressed_bytes"), few.alias("first_members"))
+
+
+def zip_coverage(rows: DataFrame, members: DataFrame, member: str) -> DataFrame:
+    """rows with the columns of their member; a row without a member, or with several of that name, is an error."""
+    named = members.groupBy(F.col("zip_member").alias(member)).agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in members.columns if c != "zip_member"))
+    joined = rows.join(named.hint("merge"), member, "left")
+    n = F.coalesce("_n", F.lit(0))
+    checked = F.when(n == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("index covers a row "), n.cast("string"), F.lit(" times: "), F.coalesce(F.col(member), F.lit("null")))).cast("boolean"))
+    return joined.where(checked).drop("_n")
+
+
 class NpzBundle(DataSource):
     """spark.read.format("npz_bundle").load(pattern): sample rows of archives with arrays ids, labels and logits, and classes."""
 

@@ -45,6 +45,34 @@ def verified_parquet(df: DataFrame, path: str) -> DataFrame:
     return back
 
 
+def verified_pngs(df: DataFrame, path: str, key: str, pixels: str, side: int) -> DataFrame:
+    """Writes key, png, sha256 of row-major pixels and returns what was written, once every image decodes to its pixels."""
+    from tidemark.sources.images import image_column, png_column
+
+    files = df.select(key, pixels, png_column(F.col(pixels), side).alias("png")).withColumn("sha256", F.sha2("png", 256))
+    files.write.mode("errorifexists").parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    seen = F.transform(image_column(F.col("png"), F.col("sha256"), side), lambda x: F.round(x.cast("double") * 255).cast("int"))
+    if not back.where(~seen.eqNullSafe(F.col(pixels).cast("array<int>"))).isEmpty():
+        raise ValueError(f"{path} does not decode to the pixels written")
+    return back
+
+
+def reused(df: DataFrame, path: str, key: str, source_hash: str) -> DataFrame:
+    """The output at path for the rows of df (key, source_hash and results): kept rows are reused if their source is the same.
+
+    Each source is hashed again by the caller, in source_hash; a kept row whose source changed is an error, never silently
+    replaced, and rows that are not kept yet are appended. A call with the same rows writes nothing.
+    """
+    spark = df.sparkSession
+    if _exists(spark, path):
+        kept = spark.read.parquet(path).select(key, F.col(source_hash).alias("_kept"))
+        changed = df.select(key, source_hash).join(kept.hint("merge"), key).where(~F.col(source_hash).eqNullSafe(F.col("_kept")))
+        if (row := changed.select(key).limit(1).first()) is not None:
+            raise ValueError(f"the source of {row[0]} has changed since its output was kept")
+    return append_new(df, path, key)
+
+
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     """Appends the rows whose key the output lacks; a repeated call with the same rows writes nothing."""
     spark = df.sparkSession
