@@ -61,7 +61,7 @@ def plain_form(t):
 
 
 def test_forms(spark):
-    texts = ["Straße", "Сafé", "ｆｕｌｌ　width", "a​b­c﻿", "x y z", "Ёлка ёж й", "Ά ΟΚ Νο", "'quo''te'", "tab\tline\nend", "\U0001f469‍\U0001f52c️", "", None, "ệ", "ệ"]
+    texts = ["Straße", "Сafé", "ｆｕｌｌ　width", "a​b­c﻿", "x y z", "Ёлка ёж й", "Ά ΟΚ Νο", "'quo''te'", "tab\tline\nend", "\U0001f469‍\U0001f52c️", "", None, "ệ", "ệ", "Ή \u0397\u0301", "Ἂ\u200b \u0391\u0313\u0300 A\u0313\u0300", "Ў \u0423\u0306"]
     got = {r[0]: r[1] for r in canonical.forms(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
     assert got == {i: None if t is None else plain_form(t) for i, t in enumerate(texts)}
     assert [len(set(got[i].split(" "))) for i in (14, 15, 16)] == [1, 1, 1] and got[14][0] == "H"

@@ -101,9 +101,57 @@ def test_shares_are_met(spark, scratch):
     assert len(rep) == 6 and all(abs(r["actual_share"] - r["target_share"]) < 0.03 for r in rep)
 
 
+def test_leaks_against_brute_force(spark, scratch):
+    r = random.Random(18)
+    m = [(f"s{r.randrange(120)}", r.randrange(0, 6), r.random() < 0.8, r.choice([None, f"c{r.randrange(60)}"])) for _ in range(220)]
+    g = [(f"s{r.randrange(120)}", None, r.choice([None, f"g{r.randrange(50)}"])) for _ in range(150)]
+    keys: dict = {}
+    groups_of: dict = {}
+    for sha, _, x in g:
+        groups_of.setdefault(sha, set()).add(x)
+    for sha, fold, kept, c in m:
+        if kept and fold <= 4:
+            for k in [("g", x) for x in groups_of.get(sha, ()) if x] + ([("c", c)] if c else []):
+                keys.setdefault(k, set()).add((sha, fold))
+    want = {sha for rows in keys.values() if len({f for _, f in rows}) > 1 for sha, _ in rows}
+    t = spark.createDataFrame(m, "sha string, fold int, retained boolean, disarmed_content_sha256 string")
+    assert {x["sha"] for x in splits.leaks(samples(spark, g), t, scratch).collect()} == want and want
+
+
 def test_leaks(spark, scratch):
     m = spark.createDataFrame([("A", 0, True, "c1"), ("b", 1, True, None), ("c", 1, True, "C1 "), ("d", 2, True, "c2"), ("e", 2, False, "c2"), ("f", 9, True, "c2"), ("g", None, True, "c2"), ("h", 3, True, "c3"), ("h", 4, True, "c4"), ("i", 4, True, None)], "sha string, fold int, retained boolean, disarmed_content_sha256 string")
     s = samples(spark, [("a", None, "g1"), ("b", None, "G1"), ("b", None, "g2"), ("i", None, "g2"), ("d", None, "g9"), ("h", None, None)])
     # g1: folds 0 and 1; g2: 1 and 4; c1: 0 and 1; h is in two folds but has no group and no content in both.
     assert {r["sha"] for r in splits.leaks(s, m, scratch).collect()} == {"a", "b", "c", "i"}
     assert splits.leaks(samples(spark, []), m.where("false"), scratch).count() == 0
+
+
+def test_hubs_meet_no_window(spark, scratch, monkeypatch):
+    """The links of a star are joined with aggregates in every step, so no plan puts a vertex's links in one task."""
+    from tidemark.session import Scratch
+
+    plans, cut = [], Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(self, df, *a))
+    star = spark.range(1, 3000).selectExpr("0L AS a", "id AS b")
+    for got in (groups.minimum_labels(star, scratch), splits.hash_to_min(star, scratch)):
+        assert got.where("component <> 0").isEmpty() and got.count() == 3000
+    assert len(plans) > 3 and not any("Window" in p for p in plans)
+
+
+def test_waves_start_with_the_largest(spark):
+    comps = spark.createDataFrame([(i, "f", n) for i, n in enumerate([50, 40, 40, 9, 8, 7, 1, 1, 1, 1])] + [(90, "g", 3)], "component long, family string, n long")
+    got = {r["component"]: r["wave"] for r in splits.waves(comps).collect()}
+    assert got[0] == 0 and got[1] == got[2] == 1 and got[3] == 2 and got[90] == 0 and got[6] >= got[5] >= got[4] >= got[3]
+
+
+def test_splits_are_near_their_shares(spark, scratch):
+    """Components of very uneven size, one with a tenth of all records: overall within 1 %, and a new one moves few others."""
+    r = random.Random(17)
+    rows = [(f"s{i}", f"f{int(r.paretovariate(0.6)) % 7}", f"g{min(int(r.paretovariate(0.5)), 3000)}") for i in range(9000)] + [(f"h{i}", "f1", "hot") for i in range(1000)]
+    t = spark.createDataFrame([("train", 0.7), ("validation", 0.15), ("test", 0.15)], TARGET)
+    one = splits.assign(samples(spark, rows), t, scratch)
+    rep = [x for x in splits.shares_report(one, samples(spark, rows), t).collect() if x["family"] is None]
+    assert len(rep) == 3 and all(abs(x["actual_share"] - x["target_share"]) < 0.01 for x in rep)
+    more = splits.assign(samples(spark, [*rows, ("new", "f1", "g-new")]), t, scratch)
+    moved = one.join(more.withColumnRenamed("split_name", "then"), "sha").where("split_name <> then").count()
+    assert moved < 0.05 * len(rows)
