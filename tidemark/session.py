@@ -49,13 +49,15 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive the loss of an executor.
 
-    They stay until close(), or the end of the driver where the folder is a file path, as results read them.
+    They stay until close(), or the end of the driver's program, as results read them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
         if self.path.startswith("file:"):
             atexit.register(shutil.rmtree, self.path.split(":", 1)[1].replace("///", "/", 1), True)
+        else:
+            atexit.register(_remove_at_exit, spark, self.path)
 
     def close(self) -> None:
         """Delete all tables of this scratch; nothing may read them afterwards."""
@@ -77,6 +79,14 @@ class Scratch:
                 remove(self.spark, path)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """On other file systems through the JVM, if it still runs; handlers run last in first out, so before pyspark ends it."""
+    try:
+        remove(spark, path)
+    except Exception as e:  # the program ends anyway; what stays is named
+        print(f"{path} was not removed: {e}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     jvm = spark._jvm
