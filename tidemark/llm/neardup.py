@@ -168,7 +168,7 @@ def near_digests(digests: DataFrame, scratch: Scratch, within: int = WITHIN) ->
     n = sum(crowd)
     bands, rows = layout(n, 1.5 * sum(c * c for c in crowd) / max(1, n * n))
     half = lambda x: F.when(F.col("band") % 2 == 0, F.col(f"{x}0")).otherwise(F.col(f"{x}1")).alias(x)
-    tasks = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.5 * n * min(bands, PER_PASS) / PER_TASK))
+    tasks = max(2 * scratch.spark.sparkContext.defaultParallelism, math.ceil(1.5 * n * min(bands, PER_PASS) / PER_TASK))
     hits = None
     for start in range(0, bands, PER_PASS):
         banded = with_bands(digests, bands, rows, start, min(bands, start + PER_PASS))
