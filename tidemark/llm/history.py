@@ -276,7 +276,7 @@ def against_store(batch: DataFrame, classes: DataFrame, fps: DataFrame, n: int,
     close = old.join(classes.hint("merge"), "id").where(_near() <= within).select(*CLASS).distinct()
     same = store.lookup(hits.where(F.col("kind") == CONTENT), CONTENT, got["contents"]).where("id = e_id").select(F.col("key").alias("c1"), F.col("id").alias("c2")).distinct()
     none = lambda c: F.lit(None).cast(dict(x.split() for x in COLUMNS.split(", ")).get(c, "long")).alias(c)
-    return scratch.cut(close.select(*CLASS, none("c1"), none("c2")).unionByName(same.select(*(none(c) for c in CLASS), "c1", "c2")), "repeats")
+    return close.select(*CLASS, none("c1"), none("c2")).unionByName(same.select(*(none(c) for c in CLASS), "c1", "c2"))
 
 
 def arrived(store: HistoryStore, records: DataFrame, scratch: Scratch) -> DataFrame:
@@ -315,16 +315,16 @@ def run_batches(history: DataFrame | None, batches: DataFrame, scratch: Scratch,
     classes = scratch.cut(batch_classes(arrivals), "classes", "batch_no")
     fps = scratch.cut(with_fingerprints(classes, ["batch_no", "id"]), "fingerprints", "batch_no")
     numbers = dict(arrivals.groupBy("batch_no").count().collect())  # one row a batch
-    repeats = None
+    found = []
     for b in sorted(numbers):
         # A batch has its own folders: other batches are not read.
         mine = [t.where(F.col("batch_no") == b).drop("batch_no") for t in (arrivals, classes, fps)]
-        found = against_store(*mine, numbers[b], store, scratch, within).withColumn("batch_no", F.lit(b))
-        repeats = found if repeats is None else repeats.unionByName(found)
+        found.append(scratch.cut(against_store(*mine, numbers[b], store, scratch, within).withColumn("batch_no", F.lit(b)), "repeats"))
         store.about["batches"] += 1
         store.update(mine[0], mine[1].select(*CLASS), mine[2].select("fp", "id"), numbers[b] * 16)
-    if repeats is None:
+    if not found:
         return scratch.spark.createDataFrame([], "batch_no int, sha string")
+    repeats = scratch.tables(found)
     close = repeats.where("id IS NOT NULL").select("batch_no", *CLASS).unionByName(close_within(classes, fps, within))
     same = repeats.where("c1 IS NOT NULL").select("batch_no", "c1", "c2")
     cases = arrivals.join(close.hint("merge"), ["batch_no", *CLASS], "left_semi").unionByName(arrivals.join(same.hint("merge"), ["batch_no", "c1", "c2"], "left_semi").select(arrivals.columns))
