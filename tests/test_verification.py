@@ -173,3 +173,40 @@ def test_near_search_has_no_window_over_a_vertex(spark, scratch):
     star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     got = components(star, scratch)
     assert got.where("component <> 0").isEmpty() and got.count() == 3000
+
+
+class State:
+    """The part of Spark's group state that the function uses."""
+
+    def __init__(self):
+        self.value = None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_stream_state_equals_row_by_row_distances_and_expires():
+    import pandas as pd
+
+    from tidemark.streaming import streams
+
+    r = random.Random(4)
+    hexa = lambda: "".join(r.choice("0123456789ABCDEF") for _ in range(70))
+    base, rows = hexa(), []
+    for i in range(40):
+        d = list(base if i % 3 else hexa())
+        d[r.randrange(10, 70)] = r.choice("0123456789ABCDEF")
+        rows.append((pd.Timestamp("2020-01-01") + pd.Timedelta(days=i), f"{i:02d}", "".join(d)))
+    t = pd.DataFrame(rows, columns=["ts", "sha", "digest"])
+    want, f, st = {}, streams.retention_function(12), State()
+    for i, (_, sha, d) in enumerate(rows):
+        want[sha] = next((s for _, s, e in rows[:i] if streams._steps(d, e) <= 12), "")
+    got = pd.concat([x for part in (t[:15], t[15:]) for x in f(("k",), iter([part]), st)])
+    assert dict(zip(got["sha"], got["reference_sha"])) == want and len(st.value[0]) == 40 and any(want.values())
+    f, st = streams.retention_function(12, horizon_days=5), State()
+    got = pd.concat([x for part in (t[:15], t[15:]) for x in f(("k",), iter([part]), st)])
+    near = {sha: next((s for u, s, e in rows[:i] if (v - u).days <= 5 and streams._steps(d, e) <= 12), "") for i, (v, sha, d) in enumerate(rows)}
+    assert dict(zip(got["sha"], got["reference_sha"])) == near and len(st.value[0]) == 6

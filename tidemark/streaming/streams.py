@@ -38,31 +38,59 @@ def first_arrivals(stream: DataFrame, key: str) -> DataFrame:
     return stream.dropDuplicates([key])
 
 
-def retention_function(threshold: int):
+def retention_function(threshold: int, horizon_days: float | None = None):
     """For applyInPandasWithState: keeps, per block of one key, all digests seen so far, excluded ones too, and decides each new row.
 
-    State is a list of (ts, sha, planes) of the block; rows of a batch are taken in the order of (ts, sha). A row that
-    is earlier than one already decided is an error: late data are rejected, not handled.
+    State is a list of (ts, sha, digest) of the block in the order of (ts, sha), in which rows of a batch are taken too; a new row
+    is compared with the whole list at once. A row that is earlier than one already decided is an error: late data
+    are rejected, not handled. horizon_days: entries older than a new row by more leave the state and are matched no more;
+    by default everything stays, as the batch operator compares with all history, and blocks must be small by their key.
     """
 
     def decide(key, pdfs, state):
+        import numpy as np
         import pandas as pd
 
         seen = list(state.get[0]) if state.exists else []
-        out = []
         rows = pd.concat(list(pdfs)).sort_values(["ts", "sha"])
+        held = np.frombuffer(bytes.fromhex("".join(s[2] for s in seen) + "".join(rows["digest"])), np.uint8).reshape(-1, 35)
+        if horizon_days is not None:
+            since = [np.datetime64(pd.Timestamp(t)) for t in [*(s[0] for s in seen), *rows["ts"].astype(str)]]
+        out, first = [], 0
         for r in rows.itertuples():
+            n = len(seen)
             if seen and (str(r.ts), r.sha) <= (seen[-1][0], seen[-1][1]):
                 raise ValueError("a row earlier than one already decided")
-            near = next((s for s in seen if _steps(s[2], r.digest) <= threshold), None)
+            while horizon_days is not None and first < n and since[n] - since[first] > np.timedelta64(int(horizon_days * 86_400_000_000), "us"):
+                first += 1
+            hits = np.flatnonzero(_distances(held[first:n], held[n]) <= threshold)
+            near = seen[first + hits[0]] if len(hits) else None
             out.append((key[0], r.sha, "EXCLUDE" if near else "KEEP", near[1] if near else ""))
             seen.append((str(r.ts), r.sha, r.digest))
-        state.update((seen,))
+        state.update((seen[first:],))
         yield pd.DataFrame(out, columns=["block", "sha", "decision", "reference_sha"])
 
     return decide
 
 
+def _distances(many, one):
+    """Distances of rows of 35 bytes from one."""
+    import numpy as np
+
+    x, y = many.astype(np.int64), one.astype(np.int64)
+    ring = lambda a, b, m: np.minimum(np.abs(a - b), m - np.abs(a - b))
+    swap = lambda v: (v & 15) << 4 | v >> 4
+    r = ring(swap(x[:, 1]), swap(y[1]), 256)
+    d = (x[:, 0] != y[0]) + np.where(r <= 1, r, 12 * r)
+    for s in (4, 0):
+        q = ring(x[:, 2] >> s & 15, y[2] >> s & 15, 16)
+        d = d + np.where(q <= 1, q, 12 * (q - 1))
+    for s in (0, 2, 4, 6):
+        v = np.abs((x[:, 3:] >> s & 3) - (y[3:] >> s & 3))
+        d = d + np.where(v == 3, 6, v).sum(1)
+    return d
+
+
 def _steps(a: str, b: str) -> int:
     """Distance of two digests of 70 hex digits."""
     ring = lambda x, y, m: min(abs(x - y), m - abs(x - y))
