@@ -31,7 +31,7 @@ INTS = {
     **dict.fromkeys(("B17_argmax", "A16_A17_A18_summary", "A18_bins", "A21_balanced_loss", "E06_quality_weights", "E07_quality_drift_weights", "J16_complete_cells"), "seed view"),
     **dict.fromkeys(("P10_confidence_bin", "E08_forecast", "E10_residuals", "E24_A33_uncertainty", "A34_summaries"), "view"),
     **dict.fromkeys(("A22_fixed_support_f1", "A23_mean_and_worst", "W08_worst_months", "V01_strata", "V02_retained_status", "J04_aligned_views", "V08_V14_readback", "V16_package", "K09_K10_long_tables", "V06_point_evaluator", "W09_view_order"), "seed"),
-    "V07_single_view_families": "seed view label", "A19_A20_second_metrics": "seed view", "S11_S12_S13_image_dataset": "class_index",
+    "V07_single_view_families": "seed view label", "A19_A20_second_metrics": "seed view", "E08_E10_forecast_seeds": "seed view", "S11_S12_S13_image_dataset": "class_index",
 }
 
 

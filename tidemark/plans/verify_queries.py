@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import byteviews, calibration, metrics, retention, verification
+from tidemark.operators import byteviews, calibration, drift, metrics, retention, verification
 from tidemark.plans import content_queries as cq
 from tidemark.plans import model_queries as mq
 from tidemark.plans import study_queries as sq
 from tidemark.plans.registry import SQL, query
 from tidemark.plans.registry import clean as c
 from tidemark.plans.select_queries import COHORT
-from tidemark.plans.tables import CLASSES, FUSED, LOGITS, MANIFEST, fused, predictions
+from tidemark.plans.tables import CLASSES, FUSED, LOGITS, MANIFEST, fused, logits, predictions
 from tidemark.functions.keys import clean
 from tidemark.session import Scratch, table
 from tidemark.sources import images
@@ -90,6 +90,25 @@ def s11_images(spark, d):
     return _summed(p.select("doc_id", "sha", "class_index", images.image_column(F.col("png"), F.col("sha256"), 16).alias("image")), "doc_id", "sha", "class_index")
 
 
+@query("E02_calibrate_seeds")
+def e02_seeds(spark, d):
+    """Every seed and view: temperature fitted on months 0-2, scores of months 3-5 at it."""
+    g = logits(spark, d)
+    t = calibration.fit_temperatures(g.where("month < 3"), ["seed", "view"], "z")
+    b = g.where("month >= 3").join(F.broadcast(t), ["seed", "view"])  # one row a seed and view
+    return metrics.summary(metrics.sample_metrics(b.withColumn("logp", metrics.log_softmax(F.col("z"), F.col("temperature")))), ["seed", "view"], CLASSES)
+
+
+@query("E08_E10_forecast_seeds", f"WITH {LOGITS}, b AS (SELECT seed, view, label, avg(nll) FILTER (month < 3) AS loss, avg(nll) FILTER (month >= 3) AS seen FROM p GROUP BY 1, 2, 3) SELECT seed, view, label, beta::DOUBLE AS beta, round(loss + beta * (view + 1) / 10, 6) AS forecast, round(loss + beta * (view + 1) / 10 - seen, 6) AS residual FROM b, (SELECT unnest([0.0, 0.5, 1.0]) AS beta) WHERE loss IS NOT NULL AND seen IS NOT NULL")
+def e10_seeds(spark, d):
+    """Forecasts and residuals of every seed; E08_forecast and E10_residuals keep seed 0."""
+    p = predictions(spark, d)
+    mean = lambda c, name: p.where(c).groupBy("seed", "view", "label").agg(F.avg("nll").alias(name))
+    signal = spark.range(3).select(F.col("id").cast("int").alias("view"), ((F.col("id") + 1) / 10).alias("drift"))
+    f = calibration.forecasts(mean("month < 3", "loss"), signal, "view", "loss", "drift").join(mean("month >= 3", "seen"), ["seed", "view", "label"])
+    return f.select("seed", "view", "label", "beta", R("forecast"), F.round(F.col("forecast") - F.col("seen"), 6).alias("residual"))
+
+
 def _fit_rows(spark, d):
     p = predictions(spark, d).groupBy("seed", "vec_id", "label").agg(F.array(*(F.max(F.when(F.col("view") == v, -F.col("nll"))) for v in range(3))).alias("logs"))
     w = calibration.learned_weights(p, ["seed"], "label", "logs").select("seed", "weights")
@@ -125,6 +144,27 @@ def v05(spark, d):
     return chosen.join(F.broadcast(forward), "beta", "left")
 
 
+#: Cases of month ranges that are compared, as (case, months of A, months of B).
+CASES = ((0, (0, 1), (2, 3)), (1, (2, 3), (4, 5)), (2, (0, 1, 2), (3, 4, 5)))
+_CASES = " UNION ALL ".join(f"SELECT {k} AS cs, '{side}' AS side, unnest([{', '.join(map(str, m))}]) AS month" for k, a, b in CASES for side, m in (("A", a), ("B", b)))
+
+
+@query("E21_cases_and_views", f"""WITH cs AS ({_CASES}), st AS (SELECT cs, side, view, label, list_transform(embedding[(20 * view + 1):(20 * view + 20)], lambda x: x::DOUBLE) AS e FROM embeddings JOIN cs ON vec_id % 6 = cs.month, (SELECT unnest([0, 1, 2]) AS view)),
+pr AS (SELECT a.cs, a.view, a.label, a.side AS sa, b.side AS sb, exp(-list_sum(list_transform(range(1, 21), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) / 20 / 0.04) AS k FROM st a JOIN st b ON a.cs = b.cs AND a.view = b.view AND a.label = b.label),
+m AS (SELECT cs, view, label, avg(k) FILTER (sa = 'A' AND sb = 'A') + avg(k) FILTER (sa = 'B' AND sb = 'B') - 2 * avg(k) FILTER (sa = 'A' AND sb = 'B') AS mmd2 FROM pr GROUP BY 1, 2, 3)
+SELECT cs AS case_no, view, count(*) AS classes, round(avg(mmd2), 6) AS mmd2, round(avg(mmd2) / 2, 6) AS drift FROM m WHERE mmd2 IS NOT NULL GROUP BY 1, 2""")
+def e21_cases(spark, d):
+    """Drift of every case and view: the mean over classes of MMD^2 between the case's two sides, on the view's features."""
+    sides = [F.struct(F.lit(k).alias("case_no"), F.lit(side).alias("side"), F.array(*map(F.lit, m)).alias("months")) for k, a, b in CASES for side, m in (("A", a), ("B", b))]
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 6).cast("int").alias("month"), "label", "embedding", F.explode(F.array(*sides)).alias("c"))
+    e = e.where(F.array_contains("c.months", F.col("month"))).select("c.case_no", "c.side", "label", "embedding", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("view"))
+    vector = F.transform(F.slice("embedding", 20 * F.col("view") + 1, F.lit(20)), lambda x: x.cast("double")).alias("e")
+    rows = e.select("side", F.concat_ws("|", "case_no", "view", "label").alias("cell"), vector)
+    per = drift.class_mmd2(rows.where("side = 'A'"), rows.where("side = 'B'"), "cell", "e", 0.02)
+    part = F.split("cell", r"\|")
+    return per.groupBy(part[0].cast("int").alias("case_no"), part[1].cast("int").alias("view")).agg(F.count("*").alias("classes"), F.round(F.avg("mmd2"), 6).alias("mmd2"), F.round(F.avg("mmd2") / 2, 6).alias("drift"))
+
+
 @query("V09_V10_witness_check", f"SELECT threshold, count(*) FILTER (decision = 'EXCLUDE') AS excluded, count(*) FILTER (decision = 'EXCLUDE') AS good_witnesses, count(*) FILTER (decision = 'KEEP') AS kept, least(12, count(*) FILTER (decision = 'KEEP')) AS rechecked, 0::BIGINT AS broken_keeps FROM ({cq._decision_sql(True)}) GROUP BY threshold")
 def v09_check(spark, d):
     """All witnesses recomputed from the records, and 12 kept rows a threshold held against every row."""
