@@ -210,3 +210,20 @@ def test_stream_state_equals_row_by_row_distances_and_expires():
     got = pd.concat([x for part in (t[:15], t[15:]) for x in f(("k",), iter([part]), st)])
     near = {sha: next((s for u, s, e in rows[:i] if (v - u).days <= 5 and streams._steps(d, e) <= 12), "") for i, (v, sha, d) in enumerate(rows)}
     assert dict(zip(got["sha"], got["reference_sha"])) == near and len(st.value[0]) == 6
+
+
+def test_multiplicity_correlation_and_influence(spark):
+    from tidemark.operators import resample
+
+    rng = np.random.default_rng(5)
+    m = rng.poisson(1.0, (50, 4))
+    m[:, 3] = 1
+    theta = m @ np.array([0.3, -0.2, 0.0, 0.1]) + rng.normal(size=50) * 0.1
+    draws = spark.createDataFrame([(r, g, int(m[r, g])) for r in range(50) for g in range(4) if m[r, g]], "replicate int, group_id int, weight int")
+    res = spark.createDataFrame([(r, float(theta[r])) for r in range(50)], "replicate int, v double")
+    got = {x["group_id"]: x["corr_v"] for x in resample.multiplicity_correlation(draws, res, ["v"]).collect()}
+    assert got[3] is None and all(abs(got[g] - np.corrcoef(m[:, g], theta)[0, 1]) < 1e-12 for g in range(3))
+    sums = spark.createDataFrame([(g, n, v) for g, (n, v) in enumerate([(5, 5.0), (5, 5.0), (2, 9.0), (1, 1.0)])], "group_id int, n long, v double")
+    top = {x["group_id"]: x["why"] for x in resample.influential(resample.leave_one_out(sums, ["v"]), ["v"], 2).collect()}
+    assert top == {0: ["size"], 1: ["size"], 2: ["v"]}
+    assert resample.influential(resample.leave_one_out(sums.limit(0), ["v"]), ["v"]).count() == 0

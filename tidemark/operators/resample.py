@@ -120,6 +120,34 @@ def leave_one_out(sums: DataFrame, values: list[str]) -> DataFrame:
     return j.select("group_id", "n", *(loo(v).alias(f"loo_{v}") for v in values), *((loo(v) - F.col(f"_{v}") / F.col("_n")).alias(f"shift_{v}") for v in values))
 
 
+def multiplicity_correlation(draws: DataFrame, results: DataFrame, values: list[str], weight: str = "weight") -> DataFrame:
+    """group_id, corr_<value>: correlation over replicates of a group's multiplicity with the replicate's value.
+
+    Replicates that miss a group have multiplicity 0 and need no row in draws. Null where either does not vary. results: one row
+    a replicate; its mean is taken off before sums are formed, so nothing cancels.
+    """
+    means = results.agg(F.count("*").alias("_r"), *(F.avg(v).alias(f"_m_{v}") for v in values), *(F.var_pop(v).alias(f"_v_{v}") for v in values))
+    at = draws.select("replicate", "group_id", F.col(weight).cast("double").alias("_w")).join(results.join(F.broadcast(means), F.lit(True)), "replicate")  # means: one row
+    off = lambda v: F.col(v) - F.col(f"_m_{v}")
+    sums = at.groupBy("group_id").agg(F.max("_r").alias("_r"), F.sum("_w").alias("_s"), F.sum(F.col("_w") * F.col("_w")).alias("_q"), *(F.sum(F.col("_w") * off(v)).alias(f"_c_{v}") for v in values), *(F.max(f"_v_{v}").alias(f"_v_{v}") for v in values))
+    spread = F.col("_q") / F.col("_r") - (F.col("_s") / F.col("_r")) * (F.col("_s") / F.col("_r"))
+    corr = lambda v: F.when((spread > 1e-12) & (F.col(f"_v_{v}") > 0), F.col(f"_c_{v}") / F.col("_r") / F.sqrt(spread * F.col(f"_v_{v}")))
+    return sums.select("group_id", *(corr(v).alias(f"corr_{v}") for v in values))
+
+
+def influential(loo: DataFrame, values: list[str], largest: int = 10) -> DataFrame:
+    """The rows of leave_one_out for the largest groups by (-n, group_id) and for the group of the largest absolute shift of each value.
+
+    Ties of a shift go to the least group. A group comes once, with why: a sorted array of 'size' and value names.
+    """
+    top = loo.orderBy(F.desc("n"), "group_id").limit(largest).select("group_id", F.lit("size").alias("why"))
+    first = [loo.agg(F.min_by("group_id", F.struct(-F.abs(f"shift_{v}"), "group_id")).alias("group_id")).where("group_id IS NOT NULL").select("group_id", F.lit(v).alias("why")) for v in values]
+    for f in first:
+        top = top.unionByName(f)
+    named = top.groupBy("group_id").agg(F.array_sort(F.collect_set("why")).alias("why"))  # at most largest + len(values) rows
+    return loo.join(F.broadcast(named), "group_id")
+
+
 def distribution(df: DataFrame, value: str, levels: list[float]) -> DataFrame:
     """One row: mean, sd (sample), moment skewness and excess kurtosis, quantiles."""
     return df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.skewness(value).alias("skewness"), F.kurtosis(value).alias("excess_kurtosis"), *(F.percentile(value, F.lit(x)).alias(f"q_{str(x).replace('.', '_')}") for x in levels))

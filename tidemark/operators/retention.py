@@ -39,7 +39,9 @@ def near_edges(rows: DataFrame, scratch: Scratch, within: int = WITHIN) -> DataF
         raise ValueError(f"windows find all pairs up to distance {WITHIN}")
     d = scratch.cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(*(F.first(p).alias(p) for p in PARTS)), "digests")
     d = d.withColumn("id", F.xxhash64(*PARTS))  # a short key for candidates, which may clash, as digests are compared below
-    ask = windows.banded(windows.asked(d, ["id", "head"]), "head", 1, False).select("key", F.col("id").alias("x"))
+    # Within 10 a window is equal, so there is no need to ask around.
+    asked = windows.kept if within <= 10 else windows.asked
+    ask = windows.banded(asked(d, ["id", "head"]), "head", 1, False).select("key", F.col("id").alias("x"))
     keep = windows.banded(windows.kept(d, ["id", "head"]), "head", 1, True).select("key", F.col("id").alias("y"))
     # A window one step away is asked for from both ends, so nearly every pair comes twice; a digest also meets itself.
     pairs = ask.join(keep.hint("merge"), "key").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()

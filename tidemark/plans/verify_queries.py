@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import byteviews, calibration, drift, metrics, retention, verification
+from tidemark.operators import byteviews, calibration, drift, metrics, resample, retention, verification
 from tidemark.plans import content_queries as cq
 from tidemark.plans import model_queries as mq
 from tidemark.plans import study_queries as sq
@@ -109,6 +109,20 @@ def e10_seeds(spark, d):
     return f.select("seed", "view", "label", "beta", R("forecast"), F.round(F.col("forecast") - F.col("seen"), 6).alias("residual"))
 
 
+_LOO = ", tt AS (SELECT sum(n) AS n, sum(nll) AS nll, sum(brier) AS brier FROM gs), lo AS (SELECT gs.group_id, gs.n, (tt.nll - gs.nll) / (tt.n - gs.n) - tt.nll / tt.n AS shift_nll, (tt.brier - gs.brier) / (tt.n - gs.n) - tt.brier / tt.n AS shift_brier FROM gs, tt), wy AS (SELECT group_id, 'size' AS why FROM (SELECT group_id FROM lo ORDER BY n DESC, group_id LIMIT 10) UNION ALL SELECT group_id, 'nll' FROM (SELECT group_id FROM lo ORDER BY abs(shift_nll) DESC, group_id LIMIT 1) UNION ALL SELECT group_id, 'brier' FROM (SELECT group_id FROM lo ORDER BY abs(shift_brier) DESC, group_id LIMIT 1))"
+
+
+@query("E27_T03_influence", f"WITH {LOGITS}{FUSED}{mq.SUMS}{mq.DRAWS}{mq.RES}{_LOO}, co AS (SELECT dr.group_id, CASE WHEN min(weight) < max(weight) THEN corr(weight, rs.nll) END AS c FROM dr JOIN rs ON dr.replicate = rs.replicate GROUP BY 1) SELECT lo.group_id, lo.n, string_agg(why, ',' ORDER BY why) AS why, round(min(shift_nll), 6) AS shift_nll, round(min(shift_brier), 6) AS shift_brier, round(min(co.c), 6) AS corr_nll FROM lo JOIN wy ON lo.group_id = wy.group_id JOIN co ON co.group_id = lo.group_id GROUP BY 1, 2")
+def e27_t03(spark, d):
+    """The ten largest groups and those of the largest shifts, with the correlation of their multiplicity with the mixture's loss."""
+    sums = mq._sums(spark, d)
+    w = (F.col("group_id") * 7919 + F.col("replicate") * 104729 + F.col("group_id") * F.col("replicate") * 31) % 4
+    draws = resample.hash_draws(spark, sums.select("group_id"), 200, w)
+    corr = resample.multiplicity_correlation(draws, resample.resampled(draws, sums, ["nll"]), ["nll"])
+    top = resample.influential(resample.leave_one_out(sums, ["nll", "brier"]), ["nll", "brier"])
+    return top.join(corr, "group_id").select("group_id", "n", F.array_join("why", ",").alias("why"), R("shift_nll"), R("shift_brier"), R("corr_nll"))
+
+
 def _fit_rows(spark, d):
     p = predictions(spark, d).groupBy("seed", "vec_id", "label").agg(F.array(*(F.max(F.when(F.col("view") == v, -F.col("nll"))) for v in range(3))).alias("logs"))
     w = calibration.learned_weights(p, ["seed"], "label", "logs").select("seed", "weights")
