@@ -53,6 +53,11 @@ SELECT sha FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY group_id HA
 UNION SELECT sha FROM f WHERE content IN (SELECT content FROM f WHERE content IS NOT NULL GROUP BY content HAVING count(DISTINCT fold) > 1)"""
 
 
+#: Rules that results must keep: what SQL can say of splits and mixtures, which it cannot make.
+P6_GROUPS = f"WITH {SAMPLES} SELECT group_id, count(DISTINCT sha) AS records, 1::BIGINT AS splits FROM s WHERE group_id IS NOT NULL AND sha IS NOT NULL GROUP BY group_id"
+P9_CHECK = """WITH h AS (SELECT DISTINCT source FROM documents WHERE text <> ''), t AS (SELECT source, sum(target_share) AS w FROM mix_target WHERE source IS NOT NULL AND target_share > 0 GROUP BY 1), u AS (SELECT sum(w) AS whole FROM t WHERE source IN (SELECT source FROM h))
+SELECT source, round(CASE WHEN source IN (SELECT source FROM h) THEN w / whole ELSE 0 END, 6) AS expected_share, 0::BIGINT AS over_cap, true AS share_met FROM t, u"""
+
 #: The rule in SQL's own terms: format characters and other characters that show nothing go, space separators are blanks,
 #: full-width forms lie 65248 above their ordinary ones, look-alikes are listed (fixed values), with the accents that
 #: nfc_normalize can put on both.
@@ -77,6 +82,8 @@ SQL = {
     "p5_pairs": P5_PAIRS,
     "p5_classes": P5_CLASSES,
     "p6_found": P6,
+    "p6_group_splits": P6_GROUPS,
+    "p9_check": P9_CHECK,
     "p10_found": P10,
     "p10_forms": f"WITH {LOOKS} SELECT doc_id, form FROM fm",
 }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions.keys import clean
 from tidemark.llm import bpe, canonical, dictionary, groups, history, mixture, neardup, oracle, overlap, splits
 from tidemark.session import Scratch, table
 
@@ -66,6 +68,14 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.shares_report(splits.assign(s, t, Scratch(spark, "p6")), s, t)
 
 
+def p6_group_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Records and splits of every group: the rule that p6_splits keeps, read off its result."""
+    s = table(spark, d, "trainingsample")
+    groups = s.select(clean("sha").alias("sha"), clean("group_id").alias("group_id")).dropna().distinct()
+    assigned = p6_splits(spark, d)
+    return groups.join(assigned.hint("merge"), "sha").groupBy("group_id").agg(F.count("*").alias("records"), F.count_distinct("split_name").alias("splits"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", bpe.encoded(spark, docs["text"]).alias("ids"))
@@ -84,6 +94,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(mixture.mixture(sized, sources, scratch), sources)
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per source with a target: the share it should have, documents used more often than allowed, whether its share is met within 0.02."""
+    scratch = Scratch(spark, "p9")
+    sized = mixture.sizes(table(spark, d, "documents"), scratch)
+    sources = mixture.plan(sized, table(spark, d, "mix_target"))
+    whole = sum(x["demand"] for x in sources) or 1.0
+    want = spark.createDataFrame([(x["source"], x["demand"] / whole, x["max_repeat"]) for x in sources if x["target_share"] > 0] or [("", 0.0, 0)], "source string, expected_share double, most int")
+    mixed = scratch.cut(mixture.mixture(sized, sources, scratch), "mixed")
+    got = mixture.report(mixed, sources).select("source", "actual_share")
+    uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses")).join(F.broadcast(want), "source").where("uses > most").groupBy("source").agg(F.count("*").alias("over_cap"))
+    at = want.join(got, "source").join(uses, "source", "left")  # one row a source
+    return at.select("source", F.round("expected_share", 6).alias("expected_share"), F.coalesce("over_cap", F.lit(0)).alias("over_cap"), (F.abs(F.col("actual_share") - F.col("expected_share")) <= 0.02).alias("share_met"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.found(table(spark, d, "documents"), Scratch(spark, "p10"))
 
