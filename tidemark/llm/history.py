@@ -300,11 +300,11 @@ def run_batches(history: DataFrame | None, batches: DataFrame, scratch: Scratch,
 
     history (None: none to add) is ingested once; batches follow in order of batch_no, each checked and then added. Later
     deliveries of a record neither are cases nor count as earlier records, also where the first one came in an earlier
-    call with the same store. store: one that lasts; without it a store is made in the scratch folder. Nulls: see
+    call with the same store. store: one that lasts; without it a new store is made in the scratch folder. Nulls: see
     first_deliveries; a null content equals nothing and an unusable digest gives no distance. Empty batches give no
     rows; an empty history is allowed.
     """
-    store = store or HistoryStore(scratch.spark, f"{scratch.path}/store")
+    store = store or HistoryStore(scratch.spark, f"{scratch.path}/store-{uuid.uuid4().hex[:8]}")
     earlier = store.about["batches"] > 0
     if history is not None:
         ingest(store, history, scratch)
