@@ -54,3 +54,11 @@ def test_scopes_in_one_round_are_class_groups_of_each(spark, scratch):
     got = {tuple(r) for r in retention.scoped_groups(t, scratch, scopes).select("scope", "sha", "group_id").collect()}
     want = {(n, *r) for n, (_, which, k) in enumerate(scopes) for r in retention.class_groups(t.where(which), near, scratch, k).select("sha", "group_id").collect()}
     assert got == want
+
+
+def test_folds_need_no_matrix(spark):
+    """40,000 groups and 5,000 classes: as a matrix 1.6 GB, and some copies of it."""
+    t = spark.range(80_000).select(F.concat(F.lit("g"), F.col("id") % 40_000).alias("g"), F.concat(F.lit("c"), (F.col("id") * 7919) % 5_000).alias("c"))
+    out = retention.assign_folds(t, "g", "c")
+    per = {r["fold"]: r["count"] for r in out.groupBy("fold").count().collect()}
+    assert sum(per.values()) == 40_000 and max(per.values()) - min(per.values()) < 400
