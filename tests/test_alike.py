@@ -56,6 +56,23 @@ def test_scopes_in_one_round_are_class_groups_of_each(spark, scratch):
     assert got == want
 
 
+def test_the_first_near_digest_is_that_of_all_pairs():
+    head, planes = packed(400, 2, 12)
+    rank = np.random.default_rng(4).permutation(400)
+    for within in (20, 10):
+        want = rank.copy()
+        for i, j in all_pairs(head, planes, within):
+            want[i], want[j] = min(want[i], rank[j]), min(want[j], rank[i])
+        assert (rank[nearby.near_first(head, planes, rank, within)] == want).all()
+
+
+def test_decisions_from_first_digests_are_those_from_all(spark, scratch):
+    t = scratch.cut(inventory(spark), "rows")
+    firsts, near = (scratch.cut(x, "near") for x in (retention.near_firsts(t, [0, 10, 20]), retention.near_edges(t, scratch)))
+    rows = lambda x: {tuple(r) for r in retention.class_decisions(t, x, [0, 10, 20]).collect()}
+    assert rows(firsts) == rows(near) and firsts.count() < near.count()
+
+
 def test_folds_need_no_matrix(spark):
     """40,000 groups and 5,000 classes: as a matrix 1.6 GB, and some copies of it."""
     t = spark.range(80_000).select(F.concat(F.lit("g"), F.col("id") % 40_000).alias("g"), F.concat(F.lit("c"), (F.col("id") * 7919) % 5_000).alias("c"))
