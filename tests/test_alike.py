@@ -73,6 +73,25 @@ def test_decisions_from_first_digests_are_those_from_all(spark, scratch):
     assert rows(firsts) == rows(near) and firsts.count() < near.count()
 
 
+def test_pairs_without_a_time_go_by_sha(spark, scratch):
+    r = random.Random(8)
+    a = "".join(r.choice(HEX) for _ in range(70))
+    b, c = a[:-1] + HEX[int(a[-1], 16) ^ 1], a[:-2] + HEX[int(a[-2], 16) ^ 1] + a[-1]
+    rows = [("a" * 64, None, "f", "x", max(b, a), "VALID"), ("b" * 64, "2020-01-01", "f", "y", min(b, a), "VALID"), ("c", "2019-01-01", "f", "y", c, "VALID"), ("d", "2019-01-01", "f", "y", None, None)]
+    t = retention.inventory(spark.createDataFrame(rows, "sha string, timestamp string, family string, disarmed_content_sha256 string, tlsh string, tlsh_status string"))
+    got = {tuple(x) for x in retention.pair_edges(t, scratch).collect()}
+    # A row without a time is earlier by its sha, whichever digest is less.
+    assert {x[:2] for x in got} == {("a" * 64, "b" * 64), ("a" * 64, "c"), ("c", "b" * 64), ("c", "d"), ("d", "b" * 64)}
+    assert {x[2:] for x in got if x[1] == "d"} == {(None, True)} and all(x[2] <= 2 for x in got if x[1] != "d" and x[0] != "d")
+
+
+def test_pairs_in_a_task_come_once():
+    head, planes = packed(400, 3, 12)
+    own = np.random.default_rng(5).random(400) < 0.7
+    got = [(min(i, j), max(i, j), d) for block in nearby.near_pairs(head, planes, own, 20) for i, j, d in zip(*(x.tolist() for x in block))]
+    assert len(got) == len(set(got)) and set(got) == {(i, j, d) for (i, j), d in all_pairs(head, planes, 20).items() if own[i] or own[j]}
+
+
 def test_folds_need_no_matrix(spark):
     """40,000 groups and 5,000 classes: as a matrix 1.6 GB, and some copies of it."""
     t = spark.range(80_000).select(F.concat(F.lit("g"), F.col("id") % 40_000).alias("g"), F.concat(F.lit("c"), (F.col("id") * 7919) % 5_000).alias("c"))
