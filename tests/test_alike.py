@@ -56,6 +56,18 @@ def test_scopes_in_one_round_are_class_groups_of_each(spark, scratch):
     assert got == want
 
 
+def test_links_are_counted_as_partition_check_does(spark, scratch):
+    t = scratch.cut(inventory(spark), "rows")
+    edges = scratch.cut(retention.pair_edges(t, scratch), "edges")
+    g = scratch.cut(retention.grouped_rows(t, scratch, [("all", F.lit(True), k) for k in (0, 10, 20)]), "grouped")
+    torn = g.withColumn("g2", F.when(retention.unshort(F.col("sha")) < "080", F.col("g2")).otherwise(F.col("sha")))
+    for rows in (g, torn):
+        got = [tuple(r) for r in retention.grouped_check(rows, [0, 10, 20], scratch).orderBy("threshold").collect()]
+        want = [tuple(retention.partition_check(rows.select(retention.unshort(F.col("sha")).alias("sha"), F.col(f"g{x}").alias("group_id")), edges, k).first()) for x, k in enumerate((0, 10, 20))]
+        assert got == want
+    assert got[2][5] > 0
+
+
 def test_the_first_near_digest_is_that_of_all_pairs():
     head, planes = packed(400, 2, 12)
     rank = np.random.default_rng(4).permutation(400)
