@@ -104,6 +104,18 @@ def test_pairs_in_a_task_come_once():
     assert len(got) == len(set(got)) and set(got) == {(i, j, d) for (i, j), d in all_pairs(head, planes, 20).items() if own[i] or own[j]}
 
 
+def test_nearest_rows_are_those_of_all():
+    head, planes = packed(300, 6, 20)
+    head = head + (np.arange(300) % 7 * 8 << 8).astype(np.int32)
+    q, rest = slice(0, 40), slice(20, 300)  # twenty queries are among the rows
+    i, d, near = nearby.nearest(head[q], [p[q] for p in planes], head[rest], [p[rest] for p in planes], {x: x - 20 for x in range(20, 40)})
+    assert i == list(range(40))
+    for x, least, rows in zip(i, d, near):
+        others = np.array([y for y in range(20, 300) if y != x])
+        want = nearby.head_distance(head[others], head[x]) + nearby.plane_distance([p[others] for p in planes], [p[x] for p in planes])
+        assert least == want.min() and set(rows + 20) == set(others[want == least])
+
+
 def test_folds_need_no_matrix(spark):
     """40,000 groups and 5,000 classes: as a matrix 1.6 GB, and some copies of it."""
     t = spark.range(80_000).select(F.concat(F.lit("g"), F.col("id") % 40_000).alias("g"), F.concat(F.lit("c"), (F.col("id") * 7919) % 5_000).alias("c"))
