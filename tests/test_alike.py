@@ -116,6 +116,62 @@ def test_nearest_rows_are_those_of_all():
         assert least == want.min() and set(rows + 20) == set(others[want == least])
 
 
+def test_nearest_on_the_ring_of_length_values(monkeypatch):
+    """Lengths from all of the ring, few rows each; a bound leaves the same answers, and most values uncompared."""
+    r = np.random.default_rng(9)
+    for n, bodies in ((3, 3), (40, 40), (3000, 300)):
+        head, planes = packed(n + 60, n, bodies)
+        head = (r.integers(0, 256, n + 60) << 16 | r.integers(0, 256, n + 60) << 8 | r.integers(0, 256, n + 60)).astype(np.int32)
+        copies = slice(60, 60 + min(n, 30))  # these have a row near them, at any distance of the heads up to 26
+        at = np.arange(n + 60)[copies] - 60
+        head[at] = head[copies] ^ (r.integers(0, 2, len(at)) << 16) ^ (r.integers(0, 2, len(at)) << 8)
+        for p in planes:
+            p[at] = p[copies] ^ r.integers(0, 2, len(at)).astype(np.uint64)
+        q, rest = slice(0, 60), slice(60, n + 60)
+        want = {}
+        for x in range(60):
+            d = nearby.head_distance(head[rest], head[x]) + nearby.plane_distance([p[rest] for p in planes], [p[x] for p in planes])
+            want[x] = int(d.min()), set(np.flatnonzero(d == d.min()))
+        assert {d for d, _ in want.values() if d > 50} and {d for d, _ in want.values() if d <= 50}
+        search = lambda within: {x: (d, set(rows)) for x, d, rows in zip(*nearby.nearest(head[q], [p[q] for p in planes], head[rest], [p[rest] for p in planes], {}, within))}
+        assert search(None) == want
+        compared, count = [], np.bitwise_count
+        monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(np.size(x)) or count(x))
+        for within in (0, 1, 10, 24, 50, 200):
+            compared.clear()
+            assert search(within) == {x: y for x, y in want.items() if y[0] <= within}
+            assert within > 50 or n < 3000 or sum(compared) < 60 * n * 6 / 20  # six counts a pair
+        monkeypatch.undo()
+
+
+def test_digests_are_packed_alike(spark):
+    import pyarrow as pa
+
+    from tidemark.functions.digest import PARTS, pack
+
+    r = random.Random(12)
+    d = ["".join(r.choice(HEX) for _ in range(70)) for _ in range(200)] + ["0" * 70, "F" * 70, "8" * 70]
+    t = spark.createDataFrame([(x,) for x in d], "digest string").select("digest", *pack(F.col("digest"))).toArrow()
+    head, planes = nearby.pack(t["digest"])
+    assert head.tolist() == t["head"].to_pylist() and [p.view(np.int64).tolist() for p in planes] == [t[p].to_pylist() for p in PARTS[1:]]
+    assert len(nearby.pack(pa.array([], pa.string()))[0]) == 0
+
+
+def test_cutoffs_need_no_search_beyond_the_last(spark, scratch):
+    r = random.Random(13)
+    base = "".join(r.choice(HEX) for _ in range(70))
+    far = ["".join(r.choice(HEX) for _ in range(70)) for _ in range(20)]
+    near = [base[:10] + "".join(r.choice(HEX) if r.random() < k / 40 else x for x in base[10:]) for k in range(40)]
+    t = spark.createDataFrame([(f"{i:03d}", "f", x) for i, x in enumerate(far + near)], "sha string, cls string, digest string")
+    q, none = t.where("sha % 2 = 0"), t.where("sha < '000'")
+    whole = {tuple(x) for x in retention.nearest_neighbours(q, t, scratch).collect()}
+    found = {tuple(x) for x in retention.nearest_neighbours(q, t, scratch, 50).collect()}
+    assert found == {x for x in whole if x[1] <= 50} and 5 < len(found) < len(whole) == 30
+    counts = retention.cumulative_cutoffs(retention.nearest_neighbours(q, t, scratch, 50), [0, 10, 20, 30, 50]).collect()
+    assert [tuple(x) for x in counts] == [(c, sum(x[1] <= c for x in whole)) for c in (0, 10, 20, 30, 50)]
+    assert retention.nearest_neighbours(none, t, scratch, 50).collect() == retention.nearest_neighbours(q, none, scratch, 50).collect() == []
+
+
 def test_folds_need_no_matrix(spark):
     """40,000 groups and 5,000 classes: as a matrix 1.6 GB, and some copies of it."""
     t = spark.range(80_000).select(F.concat(F.lit("g"), F.col("id") % 40_000).alias("g"), F.concat(F.lit("c"), (F.col("id") * 7919) % 5_000).alias("c"))
