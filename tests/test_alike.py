@@ -172,6 +172,80 @@ def test_cutoffs_need_no_search_beyond_the_last(spark, scratch):
     assert retention.nearest_neighbours(none, t, scratch, 50).collect() == retention.nearest_neighbours(q, none, scratch, 50).collect() == []
 
 
+def test_least_distances_are_those_of_all(monkeypatch):
+    """Heads from all of the ring and from few values, copies at small distances; with small groups and tiles too."""
+    r = np.random.default_rng(21)
+    for n, values in ((1, 2), (300, 3), (2000, 256)):
+        head, planes = packed(n + 200, n, max(1, n // 3))
+        head = (r.integers(0, 256, n + 200) << 16 | r.integers(0, values, n + 200) - 1 << 8 & 0xFF00 | r.integers(0, 256, n + 200)).astype(np.int32)
+        at, of = np.arange(min(n, 100)), 200 + np.arange(min(n, 100))
+        head[at] = head[of] ^ (r.integers(0, 2, len(at)) << 8)
+        for p in planes:
+            p[at] = p[of] ^ r.integers(0, 4, len(at)).astype(np.uint64)
+        q, rest = slice(0, 200), slice(200, n + 200)
+        skip = np.where(r.random(200) < 0.3, np.arange(200) % n, -1)
+        all_d = np.array([nearby.head_distance(head[rest], head[x]) + nearby.plane_distance([p[rest] for p in planes], [p[x] for p in planes]) for x in range(200)])
+        all_d[np.flatnonzero(skip >= 0), skip[skip >= 0]] = nearby.FAR
+        assert n == 1 or len({d for d in all_d.min(axis=1) if d <= 50}) > 3
+        for tile, together in ((nearby.TILE, nearby.TOGETHER), (64, 8), (7, 1)):
+            monkeypatch.setattr(nearby, "TILE", tile)
+            monkeypatch.setattr(nearby, "TOGETHER", together)
+            for within in (0, 10, 50, 300):
+                got = nearby.least(head[q], [p[q] for p in planes], head[rest], [p[rest] for p in planes], skip, within)
+                assert got.tolist() == np.minimum(all_d.min(axis=1), within + 1).tolist()
+        monkeypatch.undo()
+
+
+def test_bytes_are_packed_like_digits():
+    import pyarrow as pa
+
+    r = random.Random(14)
+    d = ["".join(r.choice(HEX) for _ in range(70)) for _ in range(50)]
+    a, b = nearby.pack(pa.array(d)), nearby.pack_bytes(pa.array([bytes.fromhex(x) for x in d]))
+    assert a[0].tolist() == b[0].tolist() and [p.tolist() for p in a[1]] == [p.tolist() for p in b[1]]
+
+
+def test_least_distances_in_many_tasks(spark, scratch, monkeypatch):
+    """Samples that are queries and rows at once; a digest of another sample too is an answer, one's own is none."""
+    r = random.Random(15)
+    base = ["".join(r.choice(HEX) for _ in range(70)) for _ in range(3)]
+    some = [b[:10] + "".join(r.choice(HEX) if r.random() < k / 60 else x for x in b[10:]) for b in base for k in range(20)]
+    far = ["".join(r.choice(HEX) for _ in range(70)) for _ in range(20)]
+    t = spark.createDataFrame([(f"{i:03d}", "f", x) for i, x in enumerate(some + far + some[:5] + [None])], "sha string, cls string, digest string")
+    other = t.where("sha % 3 = 0 OR sha >= '05'").withColumn("sha", F.concat(F.lit("v"), "sha"))
+    for q in (t, other, t.where("sha % 2 = 0").unionByName(other)):
+        want = sorted(x["distance"] for x in retention.nearest_neighbours(q, t, scratch, 50).collect())
+        for held, shares in ((1 << 17, 64), (2, 1 << 20)):
+            monkeypatch.setattr(retention, "HELD", held)
+            monkeypatch.setattr(retention, "SHARES", shares)
+            got = retention.least_distances(q, t, scratch, 50)
+            assert sorted(x["distance"] for x in got.collect() for _ in range(x["n"])) == want and len(want) > 30
+            assert [tuple(x) for x in retention.cumulative_cutoffs(got, [0, 10, 50], "n").collect()] == [(c, sum(d <= c for d in want)) for c in (0, 10, 50)]
+    none = t.where("sha < '000'")
+    assert retention.least_distances(none, t, scratch, 50).collect() == retention.least_distances(t, none, scratch, 50).collect() == []
+
+
+def test_cutoffs_count_every_query(spark, tmp_path):
+    """No query's id is divisible by 100: a count over those that are would be 0."""
+    import duckdb
+
+    import __spark_entry__
+
+    r = random.Random(16)
+    digest = lambda: "".join(r.choice(HEX) for _ in range(70))
+    train = [digest() for _ in range(30)]
+    queries = [x if n % 3 == 0 else x[:-2] + "00" if n % 3 == 1 else digest() for n, x in enumerate(train)]
+    for name, digests, kind in (("train_tlsh", train, "a"), ("validation_tlsh", queries, "b")):
+        rows = [(f"{kind * 56}{100 * n + 1 + n % 99:08x}", "2020-01-01T00:00:00Z", "f", 5, "c", "T1" + x, "VALID") for n, x in enumerate(digests)]
+        spark.createDataFrame(rows, "sha string, timestamp string, family string, file_size long, disarmed_content_sha256 string, tlsh string, tlsh_status string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted(tuple(x) for x in __spark_entry__.queries()["A36_nearest_cutoffs"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for name in ("train_tlsh", "validation_tlsh"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["A36_nearest_cutoffs"]).fetchall())
+    assert got[0] == (0, 10) and got[-1] == (50, 20)
+
+
 def test_folds_need_no_matrix(spark):
     """40,000 groups and 5,000 classes: as a matrix 1.6 GB, and some copies of it."""
     t = spark.range(80_000).select(F.concat(F.lit("g"), F.col("id") % 40_000).alias("g"), F.concat(F.lit("c"), (F.col("id") * 7919) % 5_000).alias("c"))
